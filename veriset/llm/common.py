@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +17,30 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch and bytes of text that a kernel holds at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since one text may be very long."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python kernels run: executors can import this package, and get batches of few rows.
+
+    The package is shipped as a zip, so nothing needs to be installed on the
+    executors; batches are small since one text may be very long.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="veriset-code-")
+    with zipfile.ZipFile(f"{folder}/veriset.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(f"{folder}/veriset.zip")
+    _shipped.add(context.applicationId)
 
 
 def ascii_lower(x: Column) -> Column:
