@@ -36,10 +36,12 @@ WINDOW, SENTENCE_COST, HARD_COST, HARD_STEP, BLOCK = 4096, 4, 32, 64, 1 << 18
 PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64())])
 
 
-def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Indices into ``at`` (ascending; at[0] = 0 is the start) of the cheapest window ends, the last included.
+def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW, open_end: bool = False) -> list[int]:
+    """Indices into ``at`` (ascending; at[0] = 0 is the start) of the cheapest window ends.
 
-    Consecutive positions must be at most ``window`` apart.
+    The last position is the last end, or with ``open_end`` any position within a
+    window of it, whichever costs least: the stream goes on there.  Consecutive
+    positions must be at most ``window`` apart.
     """
     pos, pen = at.tolist(), cost.tolist()
     back, least = [0] * len(pos), [0.0] * len(pos)
@@ -55,7 +57,10 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[in
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, p, j))
-    cuts, j = [], len(pos) - 1
+    j = len(pos) - 1
+    if open_end:
+        j = min((k for k in range(j, 0, -1) if pos[k] > pos[j] - window), key=least.__getitem__)
+    cuts = []
     while j:
         cuts.append(j)
         j = back[j]
@@ -107,7 +112,7 @@ class Packer:
                 cost.append(pen)
             base += n
         points = np.concatenate(at)
-        ends = [int(points[j]) for j in best_cuts(points, np.concatenate(cost), self.window)]
+        ends = [int(points[j]) for j in best_cuts(points, np.concatenate(cost), self.window, not last)]
         if last:
             tail = ends.pop()
             begin = ends[-1] if ends else 0
