@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that has ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op2_license_scan": "license_scan",
     "op3_byte_shards": "sharding",
     "op4_token_records": "token_records",
+    "op6_toxicity": "toxicity",
     "op7_source_mix": "mixing",
     "op8_packing": "packing",
     "op9_line_dedup": "line_dedup",
+    "op10_repetition": "repetition",
 }
 
 

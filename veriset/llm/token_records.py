@@ -4,8 +4,8 @@ Format.  A record file is a run of frames: the payload's length (u64), the maske
 CRC-32 of those eight bytes (u32), the payload, the masked CRC-32 of the payload
 (u32); all little-endian.  Masking turns a checksum right by 15 bits and adds
 0xA282EAD8, so that a checksum stored in data is not mistaken for its own.  The
-payload is a flag byte (1: the id is null), the document id (i64) and the token
-ids (u32 each).  Beside each record file lies its index: per record the document
+payload is a flag byte (1: the id is null; 2: wide ids), the document id (i64) and
+the token ids (u16 each, or u32 if the vocabulary needs it).  Beside each record file lies its index: per record the document
 id (i64), the frame's offset (u64) and its number of ids (u64), 24 bytes each, so
 a shuffled reader seeks without scanning.
 
@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,7 +77,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, kind:
 
     part = TaskContext.get().partitionId()
     files, root = pafs.FileSystem.from_uri(folder)
-    encode, end = encoder(tokenizer, kind).encode, CRC.pack(end_id)
+    tool = encoder(tokenizer, kind)
+    wide = max(tool.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+    width = "<u4" if wide else "<u2"
+    end = np.array([end_id], width).tobytes()
     name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
     records = index = None
     n = tokens = at = 0
@@ -86,8 +90,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, kind:
             if records is None and ids:
                 files.create_dir(root, recursive=True)
                 records, index = (files.open_output_stream(name + x, buffer_size=1 << 20) for x in (".rec", ".idx"))
-            for doc, encoded in zip(ids, encode(bodies), strict=True):
-                framed = frame(HEAD.pack(doc is None, doc or 0) + encoded + end)
+            for doc, encoded in zip(ids, tool.encode(bodies), strict=True):
+                framed = frame(HEAD.pack((doc is None) | wide << 1, doc or 0) + (encoded if wide else np.frombuffer(encoded, "<u4").astype(width).tobytes()) + end)
                 count = len(encoded) // 4 + 1
                 records.write(framed)
                 index.write(ENTRY.pack(doc or 0, at, count))
@@ -126,10 +130,10 @@ def _read(batches: Iterator[pa.RecordBatch], root_uri: str, with_ids: bool) -> I
             held = 0
             with files.open_input_stream(path, buffer_size=1 << 20) as stream:
                 for payload in read_frames(stream, path):
-                    null, doc = HEAD.unpack_from(payload)
-                    body = memoryview(payload)[HEAD.size :]
+                    flags, doc = HEAD.unpack_from(payload)
+                    body = payload[HEAD.size :] if flags & 2 else np.frombuffer(payload, "<u2", offset=HEAD.size).astype("<u4").tobytes()
                     n = len(body) // 4
-                    rows.append((None if null else doc, start, n, zlib.crc32(body), *((bytes(body),) if with_ids else ())))
+                    rows.append((None if flags & 1 else doc, start, n, zlib.crc32(body), *((body,) if with_ids else ())))
                     start, held = start + n, held + (len(body) if with_ids else 32)
                     if held > 1 << 20:
                         yield _rows(rows, with_ids)

@@ -9,48 +9,51 @@ bounded size.  A text that could be read otherwise goes to the library whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
-#: Parts in a generation of the cache.
-CACHE = 150_000
+#: Parts in a generation of the cache (about 200 bytes each).
+CACHE = 400_000
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 
 
-class _Parts(dict):
-    """Ids of parts as bytes, each encoded once per generation."""
-
-    def __init__(self, encode, prefix: str = "", most: int = CACHE) -> None:
-        super().__init__()
-        self.encode, self.prefix, self.most, self.old = encode, prefix, most, {}
-
-    def fill(self, parts: list[bytes]) -> None:
-        """Encode what is missing in one call, so that lookups find it."""
-        new = {p for p in set(parts) if p not in self}
-        if not new:
-            return
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-            new = set(parts)
-        old = self.old
-        missing = []
-        for p in new:
-            if (ids := old.get(p)) is None:
-                missing.append(p)
-            else:
-                self[p] = ids
-        if missing:
-            for p, ids in zip(missing, self.encode([self.prefix + p.decode("utf-8") for p in missing]), strict=True):
-                self[p] = ids
+class _Parts:
+    """Ids of parts as bytes; the older generation goes when the younger is full."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = CACHE) -> None:
+        self.encode, self.most = encode, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def look_up(self, parts: list[bytes]) -> list[bytes]:
+        values = list(map(self.young.get, parts))
+        absent = [i for i, v in enumerate(values) if v is None]
+        if not absent:
+            return values
+        old, missing, found = self.old, {}, {}
+        for i in absent:
+            p = parts[i]
+            if p not in found and p not in missing:
+                if (ids := old.get(p)) is None:
+                    missing[p] = None
+                else:
+                    found[p] = ids
+        found.update(zip(missing, self.encode(list(missing)), strict=True))
+        for i in absent:
+            values[i] = found[parts[i]]
+        if len(self.young) + len(found) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update(found)
+        return values
 
 
 class Encoder:
     """``encode(bodies) -> ids as little-endian uint32 bytes`` for one tokenizer file.
 
-    ``kind``: ``byte`` for byte-level pre-tokenizers that keep white space with the
-    word after it, ``word`` for those that drop white space.
+    ``kind``: ``byte`` for byte-level pre-tokenizers that keep a space with the word
+    after it, ``word`` for those that drop white space.
     """
 
     def __init__(self, path: str, kind: str) -> None:
@@ -61,33 +64,34 @@ class Encoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True
-        self.plain, self.spaced = _Parts(self._call), _Parts(self._call, " ")
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
+        self.parts = _Parts(self._word_parts if kind == "word" else self._byte_parts)
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_parts(self, parts: list[bytes]) -> list[bytes]:
+        return self._call([p.decode("utf-8") for p in parts])
+
+    def _byte_parts(self, parts: list[bytes]) -> list[bytes]:
+        """A part stands after a space, or begins with the line break that it stands after."""
+        ids = self._call([(p[1:] if p[:1] == b"\n" else b" " + p).decode("utf-8") for p in parts])
+        return [self.newline + x if p[:1] == b"\n" else x for p, x in zip(parts, ids, strict=True)]
+
     def encode(self, bodies: list[bytes]) -> list[bytes]:
-        return self._words(bodies) if self.kind == "word" else self._bytes(bodies)
-
-    def _words(self, bodies: list[bytes]) -> list[bytes]:
-        cut = [None if _FOREIGN.search(b) else b.split() for b in bodies]
-        self.plain.fill([p for parts in cut if parts for p in parts])
-        get = self.plain.__getitem__
-        return [self._call([b.decode("utf-8")])[0] if parts is None else b"".join(map(get, parts)) for b, parts in zip(bodies, cut, strict=True)]
-
-    def _bytes(self, bodies: list[bytes]) -> list[bytes]:
-        cut = [None if _ODD.search(b) else [line.split(b" ") for line in b.split(b"\n")] for b in bodies]
-        self.plain.fill([line[0] for lines in cut if lines for line in lines])
-        self.spaced.fill([p for lines in cut if lines for line in lines for p in line[1:]])
-        first, rest, newline = self.plain.__getitem__, self.spaced.__getitem__, self.newline
-        out = []
-        for b, lines in zip(bodies, cut, strict=True):
-            if lines is None:
-                out.append(self._call([b.decode("utf-8")])[0])
-            else:
-                out.append(newline.join([b"".join([first(line[0]), *map(rest, line[1:])]) for line in lines]))
-        return out
+        flat: list[bytes] = []
+        spans: list[tuple[int, int] | None] = []
+        odd, lead = (_FOREIGN, 0) if self.kind == "word" else (_ODD, 4)
+        for b in bodies:
+            if odd.search(b) or lead and len(self.newline) != lead:
+                spans.append(None)
+                continue
+            at = len(flat)
+            # For bytes: a line break before the text lets its first part be like any other; its id is cut off again.
+            flat += b.split() if self.kind == "word" else (b"\n" + b).replace(b"\n", b" \n").split(b" ")[1:]
+            spans.append((at, len(flat)))
+        values = self.parts.look_up(flat)
+        return [self._call([b.decode("utf-8")])[0] if span is None else b"".join(values[span[0] : span[1]])[lead:] for b, span in zip(bodies, spans, strict=True)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
