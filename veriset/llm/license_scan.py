@@ -49,18 +49,16 @@ TEMPLATES = {
     "licensed under the gnu lesser general public license": "lgpl",
     "licensed under the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted provided that": "bsd",
-    "licensed under the bsd license": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
-    "licensed under the mozilla public license": "mpl",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
-    "licensed under a creative commons attribution license": "cc-by",
-    "licensed under cc by 4 0": "cc-by",
+    "licensed under a creative commons attribution license": "cc",
+    "licensed under cc by 4 0": "cc",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "all rights reserved": "proprietary",
 }
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 RESULT = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 SCHEMA = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
