@@ -12,6 +12,7 @@ MODULES = {
     "op2_license_scan": "license_scan",
     "op3_byte_shards": "sharding",
     "op4_token_records": "token_records",
+    "op5_minhash": "minhash",
     "op6_toxicity": "toxicity",
     "op7_source_mix": "mixing",
     "op8_packing": "packing",
