@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that has ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_hnsw": "hnsw",
     "op2_license_scan": "license_scan",
     "op3_byte_shards": "sharding",
     "op4_token_records": "token_records",
