@@ -13,13 +13,14 @@ table.  A table's rows are sorted by key within their partition and read as a
 stream: nothing holds a group.  Each member of a group is paired with the group's
 first member only (in one order for all tables, so that a large group yields few
 different pairs).  Pairs are sifted by set size and by their whole signatures (a
-true pair falls below ``SIFT`` equal minhashes once in about ten million), then
+true pair falls below a share of ``SIFT`` once in some millions), then
 confirmed on the full sets.
 
 Nothing is lost by that economy: groups that are not yet one component are taken
-up again.  While they hold many unconfirmed pairs across components, each group
-compares one more member with all the others, a number of pairs linear in the
-rows; when few are left, all of them are compared.
+up again.  Where a group has at most ``FEW`` pairs across components for each of its
+rows, all of them are compared; a larger one compares some members more with all
+the others, a number of pairs linear in its rows, until few are left; ``FEW`` grows
+fourfold with each turn, so the turns are few too.
 
 Defined results: a text without words has an empty set and links with nothing;
 one of fewer than ``shingle`` words is one shingle; equal sets link; rows that share
@@ -43,7 +44,9 @@ from veriset.plans.scratch import Scratch
 
 HALVES, PER_HALF, PERCENT = 10, 2, 80
 #: Of all minhashes, the share that a candidate must have in common to be confirmed.
-SIFT = 0.4
+SIFT = 0.45
+#: Pairs across components per row of a group up to which all of them are compared at once.
+FEW = 64
 #: Nodes whose ids may be broadcast (8 bytes each); beyond that the join is shuffled.
 BROADCAST_NODES = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -259,34 +262,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, h
     links = confirm(tried)
     live = met.select("key", "node").distinct()
     owner = connected_components(links, scratch, "a", "b")
-    for turn in range(1000):
+    for turn in range(100):
+        few_pairs = FEW * 4**turn
         placed = live.join(owner, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_rows = scratch.cut(placed.join(split, "key"), "open")
-        parts = open_rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        across = parts.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c")).alias("big"))
-        found = across.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-        if not found["rows"]:
+        parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        across = parts.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c"))["c"].alias("big"), F.count(F.lit(1)).alias("parts"))
+        across = across.where("parts > 1").select("key", "big", ((F.col("s") * F.col("s") - F.col("q")) / 2 > few_pairs * F.col("s")).alias("many"), F.ceil(F.col("s") / few_pairs).alias("each"))
+        open_rows = scratch.cut(placed.join(across, "key"), "open")
+        if not open_rows.take(1):
             break
-        last = found["pairs"] <= 2 * found["rows"]
-        if last:
-            mates = open_rows.select("key", F.col("node").alias("mate"), F.col("c").alias("mc"))
-            pairs = open_rows.join(mates, "key").where("c < mc")
-            live = None
-        else:
-            # One member of each group, not of its largest component, meets all members of other components.
-            away = open_rows.join(across.select("key", F.col("big.c").alias("big")), "key").where("c <> big")
-            pivots = away.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "c")).alias("p")).select("key", F.col("p.node").alias("mate"), F.col("p.c").alias("mc"))
-            pivots = scratch.cut(pivots, "pivots")
-            pairs = open_rows.join(pivots, "key").where("c <> mc")
-            live = open_rows.join(pivots, (open_rows["key"] == pivots["key"]) & (open_rows["node"] == pivots["mate"]), "left_anti").select("key", "node")
-            live = scratch.cut(live, "live")
+        few, many = open_rows.where("not many"), open_rows.where("many")
+        # A pair across components has a member outside the largest one.
+        mates = few.where("c <> big").select("key", F.col("node").alias("mate"), F.col("c").alias("mc"))
+        pairs = few.join(mates, "key").where("c <> mc").select("node", "mate")
+        if more_turns := bool(many.take(1)):
+            # Of each large group some members, not of its largest component, meet all members of other components.
+            drawn = many.where("c <> big").withColumn("draw", F.xxhash64(F.lit(turn), "node"))
+            one = drawn.groupBy("key").agg(F.min(F.struct("draw", "node", "c")).alias("p")).select("key", F.col("p.node").alias("mate"), F.col("p.c").alias("mc"))
+            some = drawn.where(F.pmod("draw", "each") == 0).select("key", F.col("node").alias("mate"), F.col("c").alias("mc"))
+            pivots = scratch.cut(one.unionByName(some).distinct(), "pivots")
+            pairs = pairs.unionByName(many.join(pivots, "key").where("c <> mc").select("node", "mate"))
+            live = scratch.cut(many.join(pivots.withColumnRenamed("mate", "node"), ["key", "node"], "left_anti").select("key", "node"), "live")
         fresh = scratch.cut(_ordered(pairs, "node", "mate").join(tried, ["a", "b"], "left_anti"), "fresh")
         more = confirm(fresh)
         links, tried = links.unionByName(more), tried.unionByName(fresh)
-        if last or more.take(1):
+        if more.take(1):
             owner = connected_components(links, scratch, "a", "b")
-        if last:
+        if not more_turns:
             break
     # Classes of one document without a link are their own component: only the others are joined back.
     keyed = classes.join(owner, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"), F.col("other") != F.col("node"), F.col("component").isNotNull()).toDF("n", "d1", "d2", "component", "many", "linked")
