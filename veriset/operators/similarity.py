@@ -72,7 +72,7 @@ def banded_hamming(items: DataFrame, most: int, id_col: str = "id", hash_col: st
     apart; for many the bands are too narrow and ``similar_pairs`` is the way.
     """
     edges = [round(i * bits / (most + 1)) for i in range(most + 2)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col(hash_col), bits - hi), bits - hi + lo).alias("value")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(hash_col), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("value")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
     rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(bands).alias("k")).select("id", "h", "k.band", "k.value")
     other = rows.toDF("id2", "h2", "band", "value")
     met = rows.join(other, ["band", "value"]).where("id < id2")
