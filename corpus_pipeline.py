@@ -15,7 +15,7 @@ from veriset.llm import line_dedup, minhash, mixing, packing, toxicity
 from veriset.llm.common import table
 from veriset.plans.scratch import Scratch
 
-#: SQL cannot express the first and the last stage; tests hold ``run`` against a plain version.
+#: SQL cannot express the first and the last stage.
 ORACLE_SQL = None
 
 
