@@ -17,6 +17,14 @@ import numpy as np
 CACHE = 400_000
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+#: What every match of _FOREIGN begins with; to look for these first is several times faster.
+_FOREIGN_LEADS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+#: Marks that compose with A-Z: the library composes before it lower-cases, so such a text keeps its case.
+_MARKS = (b"\xcc", b"\xcd")
+#: Lower-case Latin letters alone: no normalizer changes them and no pre-tokenizer cuts them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,]")
+_PROBE = "stupid straße élève niño zzqxj a ÿ"
 
 
 class _Parts:
@@ -65,13 +73,63 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
+        self.bare, self.closes = self._bare(path) if kind == "word" else (None, np.zeros(0, bool))
+        self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
         self.parts = _Parts(self._word_parts if kind == "word" else self._byte_parts)
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _bare(self, path: str) -> tuple:
+        """The same model for plain words, without the passes that leave them as they are; and the ids that end a word."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        vocab = bare.get_vocab()
+        closes = np.zeros(max(vocab.values()) + 1, bool)
+        closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        same = bare.encode(_PROBE, add_special_tokens=False).ids == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        return (bare if same else None), closes
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words, encoded as one text and cut behind every id that ends a word."""
+        if self.bare is not None and words:
+            ids = np.asarray(self.bare.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) == len(words):
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return self._call([w.decode("utf-8") for w in words])
+
     def _word_parts(self, parts: list[bytes]) -> list[bytes]:
-        return self._call([p.decode("utf-8") for p in parts])
+        """A full stop or comma behind letters is always a piece of its own: such words are encoded without it."""
+        young, old = self.parts.young, self.parts.old
+        stopped = {p for p in parts if p[-1:] in self.stops and _STOPPED.fullmatch(p)}
+        known, plain, other = {}, {}, []
+        for p in parts:
+            if p in stopped:
+                w = p[:-1]
+                if ids := young.get(w) or old.get(w):
+                    known[w] = ids
+                else:
+                    plain[w] = None
+            elif _PLAIN.fullmatch(p):
+                plain[p] = None
+            else:
+                other.append(p)
+        fresh = dict(zip(plain, self._plain(list(plain)), strict=True))
+        young.update(fresh)
+        known |= fresh
+        known.update(zip(other, self._call([p.decode("utf-8") for p in other]), strict=True))
+        return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
+
+    def _words(self, body: bytes) -> list[bytes] | None:
+        """Words of a text in lower-case A-Z; None if it must go to the library whole."""
+        if any(x in body for x in (_FOREIGN_LEADS[:4] if body.isascii() else _FOREIGN_LEADS)) and _FOREIGN.search(body):
+            return None
+        return body.split() if any(x in body for x in _MARKS) else body.lower().split()
 
     def _byte_parts(self, parts: list[bytes]) -> list[bytes]:
         """A part stands after a space, or begins with the line break that it stands after."""
@@ -81,14 +139,19 @@ class Encoder:
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         flat: list[bytes] = []
         spans: list[tuple[int, int] | None] = []
-        odd, lead = (_FOREIGN, 0) if self.kind == "word" else (_ODD, 4)
+        lead = 0 if self.kind == "word" else 4
         for b in bodies:
-            if odd.search(b) or lead and len(self.newline) != lead:
+            if self.kind == "word":
+                parts = self._words(b)
+            elif _ODD.search(b) or len(self.newline) != lead:
+                parts = None
+            else:  # a line break before the text lets its first part be like any other; its id is cut off again
+                parts = (b"\n" + b).replace(b"\n", b" \n").split(b" ")[1:]
+            if parts is None:
                 spans.append(None)
                 continue
             at = len(flat)
-            # For bytes: a line break before the text lets its first part be like any other; its id is cut off again.
-            flat += b.split() if self.kind == "word" else (b"\n" + b).replace(b"\n", b" \n").split(b" ")[1:]
+            flat += parts
             spans.append((at, len(flat)))
         values = self.parts.look_up(flat)
         return [self._call([b.decode("utf-8")])[0] if span is None else b"".join(values[span[0] : span[1]])[lead:] for b, span in zip(bodies, spans, strict=True)]
