@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Parts in a generation of the cache (about 200 bytes each).
-CACHE = 400_000
+#: Parts in a generation of the cache (about 200 bytes each), by kind of tokenizer.
+CACHE = {"byte": 400_000, "word": 800_000}
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: What every match of _FOREIGN begins with; to look for these first is several times faster.
@@ -30,7 +30,7 @@ _PROBE = "stupid straße élève niño zzqxj a ÿ"
 class _Parts:
     """Ids of parts as bytes; the older generation goes when the younger is full."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = CACHE) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int) -> None:
         self.encode, self.most = encode, most
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -75,7 +75,7 @@ class Encoder:
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
         self.bare, self.closes = self._bare(path) if kind == "word" else (None, np.zeros(0, bool))
         self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
-        self.parts = _Parts(self._word_parts if kind == "word" else self._byte_parts)
+        self.parts = _Parts(self._word_parts if kind == "word" else self._byte_parts, CACHE[kind])
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
