@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriset.llm.common import chunks, prepare, raw, table, texts
+from veriset.llm.tokens import release
 from veriset.operators.components import connected_components
 from veriset.plans.scratch import Scratch
 
@@ -135,6 +136,7 @@ SIGNED = "id long, n long, d1 long, d2 long, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, n: int, seed: int) -> Iterator[pa.RecordBatch]:
+    release()
     hashed = Words()
     for batch in chunks(batches):
         items, counts = shingle_sets(*hashed(*raw(batch.column(1))), k)
@@ -191,6 +193,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    release()
     hashed = Words()
     for batch in chunks(batches):
         items, counts = shingle_sets(*hashed(*raw(batch.column(1))), k)

@@ -160,6 +160,11 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def release() -> None:
+    """Forget the encoders and their caches; a worker that takes up other work calls this."""
+    _encoders.clear()
+
+
 def encoder(path: str, kind: str) -> Encoder:
     """One per worker process."""
     if (path, kind) not in _encoders:

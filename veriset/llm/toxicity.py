@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriset.llm.common import chunks, prepare, table, texts
+from veriset.llm.tokens import release
 from veriset.plans.scratch import Scratch
 
 SAMPLE, MOST_TERMS, MIN_ODDS, AROUND, THRESHOLD = 4000, 400, 2.5, 8, 0.7
@@ -254,6 +255,7 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    release()
     matcher = Matcher(lexicon)
     for batch in chunks(batches):
         x = [matcher.features(b.decode("utf-8")).tolist() for b in batch.column(1).to_pylist()]
@@ -289,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    release()
     matcher = Matcher(model.lexicon)
     for batch in chunks(batches):
         x = np.array([matcher.features(b.decode("utf-8")) for b in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
@@ -303,6 +306,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    release()
     matcher = Matcher(model.lexicon)
     for batch in batches:
         x = np.array([matcher.features(t or "") for t in batch.column(text_at).to_pylist()]).reshape(-1, N_FEATURES)
