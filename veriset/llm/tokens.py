@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Parts in a generation of the cache (about 200 bytes each), by kind of tokenizer.
-CACHE = {"byte": 400_000, "word": 800_000}
+CACHE = {"byte": 800_000, "word": 800_000}
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: What every match of _FOREIGN begins with; to look for these first is several times faster.
@@ -24,6 +24,9 @@ _MARKS = (b"\xcc", b"\xcd")
 #: Lower-case Latin letters alone: no normalizer changes them and no pre-tokenizer cuts them.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,]")
+#: The same with capitals, for tokenizers that keep the case: a space and such a word are one piece.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LETTERS_STOPPED = re.compile(_LETTERS.pattern + rb"[.,]")
 _PROBE = "stupid straße élève niño zzqxj a ÿ"
 
 
@@ -75,7 +78,9 @@ class Encoder:
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
         self.bare, self.closes = self._bare(path) if kind == "word" else (None, np.zeros(0, bool))
         self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
-        self.parts = _Parts(self._word_parts if kind == "word" else self._byte_parts, CACHE[kind])
+        self.plain, self.stopped = (_PLAIN, _STOPPED) if kind == "word" else (_LETTERS, _LETTERS_STOPPED)
+        self.opens = self._opens() if kind == "byte" else np.zeros(0, bool)
+        self.parts = _Parts(self._cached_parts, CACHE[kind])
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,6 +98,23 @@ class Encoder:
         same = bare.encode(_PROBE, add_special_tokens=False).ids == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
         return (bare if same else None), closes
 
+    def _opens(self) -> np.ndarray:
+        """The ids that begin with a space."""
+        vocab = self.tokenizer.get_vocab()
+        opens = np.zeros(max(vocab.values()) + 1, bool)
+        opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        return opens
+
+    def _spaced(self, words: list[bytes]) -> list[bytes]:
+        """Ids of plain words with a space before each, encoded as one text and cut before every id that begins with one."""
+        if words:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join([b"", *words]).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(starts) == len(words) and starts[0] == 0:
+                data = ids.tobytes()
+                return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        return self._byte_parts(words)
+
     def _plain(self, words: list[bytes]) -> list[bytes]:
         """Ids of plain words, encoded as one text and cut behind every id that ends a word."""
         if self.bare is not None and words:
@@ -103,10 +125,10 @@ class Encoder:
                 return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return self._call([w.decode("utf-8") for w in words])
 
-    def _word_parts(self, parts: list[bytes]) -> list[bytes]:
+    def _cached_parts(self, parts: list[bytes]) -> list[bytes]:
         """A full stop or comma behind letters is always a piece of its own: such words are encoded without it."""
         young, old = self.parts.young, self.parts.old
-        stopped = {p for p in parts if p[-1:] in self.stops and _STOPPED.fullmatch(p)}
+        stopped = {p for p in parts if p[-1:] in self.stops and self.stopped.fullmatch(p)}
         known, plain, other = {}, {}, []
         for p in parts:
             if p in stopped:
@@ -115,14 +137,15 @@ class Encoder:
                     known[w] = ids
                 else:
                     plain[w] = None
-            elif _PLAIN.fullmatch(p):
+            elif self.plain.fullmatch(p):
                 plain[p] = None
             else:
                 other.append(p)
-        fresh = dict(zip(plain, self._plain(list(plain)), strict=True))
+        plainly, otherwise = (self._plain, self._word_parts) if self.kind == "word" else (self._spaced, self._byte_parts)
+        fresh = dict(zip(plain, plainly(list(plain)), strict=True))
         young.update(fresh)
         known |= fresh
-        known.update(zip(other, self._call([p.decode("utf-8") for p in other]), strict=True))
+        known.update(zip(other, otherwise(other), strict=True))
         return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
 
     def _words(self, body: bytes) -> list[bytes] | None:
@@ -131,6 +154,9 @@ class Encoder:
             return None
         return body.split() if any(x in body for x in _MARKS) else body.lower().split()
 
+    def _word_parts(self, parts: list[bytes]) -> list[bytes]:
+        return self._call([p.decode("utf-8") for p in parts])
+
     def _byte_parts(self, parts: list[bytes]) -> list[bytes]:
         """A part stands after a space, or begins with the line break that it stands after."""
         ids = self._call([(p[1:] if p[:1] == b"\n" else b" " + p).decode("utf-8") for p in parts])
