@@ -12,12 +12,17 @@ Candidates.  Texts with equal sets are one class first, so copies never meet in
 table.  A table's rows are sorted by key within their partition and read as a
 stream: nothing holds a group.  Each member of a group is paired with the group's
 first member only (in one order for all tables, so that a large group yields few
-different pairs).  Pairs are sifted by set size and by their whole signatures (a
-true pair falls below a share of ``SIFT`` once in some millions), then
-confirmed on the full sets.
+different pairs).  Each text also has an odd sketch: ``64 * ODD`` bits, each the
+parity of the number of its shingles that hash there.  The bits in which two sketches
+differ are at most the shingles in which the sets differ, so joins drop pairs that
+differ too much without losing any.  Pairs are then sifted by their whole signatures
+(a true pair falls below a share of ``SIFT`` once in some millions) and confirmed on
+the full sets.
 
 Nothing is lost by that economy: groups that are not yet one component are taken
-up again.  Where a group has at most ``FEW`` pairs across components for each of its
+up again.  First their rows meet the group's ``LEADS`` most central members (those
+that share most rows of open groups), which joins most copies to their original.
+Then, where a group has at most ``FEW`` pairs across components for each of its
 rows, all of them are compared; a larger one compares some members more with all
 the others, a number of pairs linear in its rows, until few are left; ``FEW`` grows
 fourfold with each turn, so the turns are few too.
@@ -32,10 +37,11 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriset.llm.common import chunks, prepare, raw, table, texts
@@ -48,6 +54,8 @@ HALVES, PER_HALF, PERCENT = 10, 2, 80
 SIFT = 0.45
 #: Pairs across components per row of a group up to which all of them are compared at once.
 FEW = 64
+#: Words of 64 bits in an odd sketch, and central members that each open group's rows meet first.
+ODD, LEADS = 16, 4
 #: Nodes whose ids may be broadcast (8 bytes each); beyond that the join is shuffled.
 BROADCAST_NODES = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +140,22 @@ def minhashes(items: np.ndarray, counts: np.ndarray, n: int, seed: int) -> np.nd
     return out
 
 
-SIGNED = "id long, n long, d1 long, d2 long, sig binary"
+def odd_sketches(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text the parities of its shingles' counts in ``64 * ODD`` cells, as 64-bit words."""
+    cells = 64 * ODD
+    cell = (items % np.uint64(cells)).astype(np.int64)
+    cell += np.repeat(np.arange(len(counts)) * cells, counts)
+    parity = np.bincount(cell, minlength=len(counts) * cells) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(len(counts), ODD)
+
+
+def may_link(n: Column, odd: Column, n2: Column, odd2: Column, percent: int) -> Column:
+    """False only for sets that cannot reach the similarity, by their sizes or by their odd sketches."""
+    differ = reduce(Column.__add__, [F.bit_count(odd[i].bitwiseXOR(odd2[i])) for i in range(ODD)])
+    return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * differ <= (100 - percent) * (n + n2))
+
+
+SIGNED = "id long, n long, d1 long, d2 long, sig binary, odd array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, n: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -148,7 +171,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, n: int, seed: int) -> Itera
             d1[full], d2[full] = np.add.reduceat(mix(items + _P), at), np.add.reduceat(mix(items ^ _M1), at)
             for i, s in zip(full.tolist(), minhashes(items, counts, n, seed), strict=True):
                 sig[i] = s.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary())], names=["id", "n", "d1", "d2", "sig"])
+        odd = pa.ListArray.from_arrays(np.arange(0, ODD * len(batch) + 1, ODD, dtype=np.int32), odd_sketches(items, counts).reshape(-1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary()), odd], names=["id", "n", "d1", "d2", "sig", "odd"])
 
 
 def table_keys(sig: np.ndarray, halves: int, per_half: int) -> np.ndarray:
@@ -226,8 +250,8 @@ class _Confirmer:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that reach the similarity."""
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"o_{c}"), F.col("sig").alias(f"s_{c}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(F.col("n_a"), F.col("o_a"), F.col("n_b"), F.col("o_b"), self.percent))
         sifted = self.scratch.cut(sized.select("a", "b", "s_a", "s_b").mapInArrow(lambda batches: _sift(batches, SIFT), "a long, b long"), "sifted")
         wanted = self.scratch.cut(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct(), "wanted")
         if wanted.count() <= BROADCAST_NODES:
@@ -254,8 +278,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, h
     n_hashes = 2 * halves * per_half
     signed = scratch.cut(bodies.mapInArrow(lambda batches: _sign(batches, shingle, n_hashes, seed), SIGNED), "signed")
     usable = signed.where("n > 0 and id is not null")
-    classes = scratch.cut(usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.min("sig").alias("sig")), "classes")
-    nodes = classes.select("node", "n", "sig")
+    classes = scratch.cut(usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.min("sig").alias("sig"), F.min("odd").alias("odd")), "classes")
+    nodes = classes.select("node", "n", "odd", "sig")
 
     rows = nodes.select("node", "sig").mapInArrow(lambda batches: _emit(batches, halves, per_half), "key long, node long")
     streamed = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node")
@@ -265,27 +289,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, h
     links = confirm(tried)
     live = met.select("key", "node").distinct()
     owner = connected_components(links, scratch, "a", "b")
+    sketch = nodes.select("node", "n", "odd")
+    mate = lambda rows: rows.select("key", F.col("node").alias("mate"), F.col("c").alias("mc"), F.col("n").alias("mn"), F.col("odd").alias("modd"))
+    across_parts = (F.col("c") != F.col("mc")) & may_link(F.col("n"), F.col("odd"), F.col("mn"), F.col("modd"), percent)
     for turn in range(100):
-        few_pairs = FEW * 4**turn
+        few_pairs = FEW * 4 ** max(turn - 1, 0)
         placed = live.join(owner, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
         across = parts.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max(F.struct("m", "c"))["c"].alias("big"), F.count(F.lit(1)).alias("parts"))
-        across = across.where("parts > 1").select("key", "big", ((F.col("s") * F.col("s") - F.col("q")) / 2 > few_pairs * F.col("s")).alias("many"), F.ceil(F.col("s") / few_pairs).alias("each"))
-        open_rows = scratch.cut(placed.join(across, "key"), "open")
+        across = across.where("parts > 1").select("key", "s", "big", ((F.col("s") * F.col("s") - F.col("q")) / 2 > few_pairs * F.col("s")).alias("many"), F.ceil(F.col("s") / few_pairs).alias("each"))
+        open_rows = scratch.cut(placed.join(across, "key").join(sketch, "node"), "open")
         if not open_rows.take(1):
             break
-        few, many = open_rows.where("not many"), open_rows.where("many")
-        # A pair across components has a member outside the largest one.
-        mates = few.where("c <> big").select("key", F.col("node").alias("mate"), F.col("c").alias("mc"))
-        pairs = few.join(mates, "key").where("c <> mc").select("node", "mate")
-        if more_turns := bool(many.take(1)):
-            # Of each large group some members, not of its largest component, meet all members of other components.
-            drawn = many.where("c <> big").withColumn("draw", F.xxhash64(F.lit(turn), "node"))
-            one = drawn.groupBy("key").agg(F.min(F.struct("draw", "node", "c")).alias("p")).select("key", F.col("p.node").alias("mate"), F.col("p.c").alias("mc"))
-            some = drawn.where(F.pmod("draw", "each") == 0).select("key", F.col("node").alias("mate"), F.col("c").alias("mc"))
-            pivots = scratch.cut(one.unionByName(some).distinct(), "pivots")
-            pairs = pairs.unionByName(many.join(pivots, "key").where("c <> mc").select("node", "mate"))
-            live = scratch.cut(many.join(pivots.withColumnRenamed("mate", "node"), ["key", "node"], "left_anti").select("key", "node"), "live")
+        more_turns = True
+        if turn == 0:
+            central = open_rows.groupBy("node").agg(F.sum("s").alias("met"))
+            order = Window.partitionBy("key").orderBy(F.desc("met"), "node")
+            leads = open_rows.join(central, "node").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= LEADS)
+            pairs = open_rows.join(mate(leads), "key").where(across_parts).select("node", "mate")
+            live = open_rows.select("key", "node")
+        else:
+            few, many = open_rows.where("not many"), open_rows.where("many")
+            # A pair across components has a member outside the largest one.
+            pairs = few.join(mate(few.where("c <> big")), "key").where(across_parts).select("node", "mate")
+            if more_turns := bool(many.take(1)):
+                # Of each large group some members, not of its largest component, meet all members of other components.
+                drawn = many.where("c <> big").withColumn("draw", F.xxhash64(F.lit(turn), "node"))
+                one = drawn.groupBy("key").agg(F.min(F.struct("draw", "node", "c", "n", "odd")).alias("p")).select("key", "p.node", "p.c", "p.n", "p.odd")
+                some = drawn.where(F.pmod("draw", "each") == 0).select("key", "node", "c", "n", "odd")
+                pivots = scratch.cut(one.unionByName(some).distinct(), "pivots")
+                pairs = pairs.unionByName(many.join(mate(pivots), "key").where(across_parts).select("node", "mate"))
+                live = scratch.cut(many.join(pivots, ["key", "node"], "left_anti").select("key", "node"), "live")
         fresh = scratch.cut(_ordered(pairs, "node", "mate").join(tried, ["a", "b"], "left_anti"), "fresh")
         more = confirm(fresh)
         links, tried = links.unionByName(more), tried.unionByName(fresh)
