@@ -180,6 +180,26 @@ def test_hnsw_equals_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (0, 200, 201, 202))
 
 
+def test_hnsw_audits_ids_that_twenty_does_not_divide(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 96))
+    x[2700:] = x[:300] + 0.2 * rng.normal(size=(300, 96))
+    rows = [(2 * i + 1, [float(v) for v in e], 1) for i, e in enumerate(x)]
+    got = {r.id: r.n_links for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=600).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert [got[2 * i + 1] for i in range(3000)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
+def test_hnsw_small_labels_are_audited_whole():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(53, 8))
+    x[40:] = x[:13] + 0.01 * rng.normal(size=(13, 8))
+    own, ids = hnsw._unit(x), np.arange(53) * 10 + 7
+    torn = hnsw.Graph(own.astype(np.float32), [np.full((53, 32), -1, np.int32)])  # finds nothing on its own
+    links, left, width = hnsw.audited_width(torn, own, ids, own, ids, 0.93, 0.05)
+    assert links == (own @ own.T >= 0.93).sum() - 53 >= 26 and left == 0 and width >= 53
+
+
 def test_kept_text_is_hashed(spark):
     d = "/root/testdata/sf0.001"
     import duckdb
