@@ -154,6 +154,33 @@ def test_automaton_equals_edit_distance():
     assert [match(w)[1] for w in ("stupid", "stupd", "stuupid", "stupix", "xtupid", "stupi", "loweisch", "tras", "trush", "trxxh", "")] == [1, 3, 3, 3, 0, 3, 2, 3, 3, 0, 0]
 
 
+def _lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_of_first_signs_and_of_beginnings():
+    matcher = toxicity.Matcher(toxicity.Lexicon(["stupid", "idiot", "achlich*"], [3.0] * 3))
+    assert [h[2] for h in matcher.hits(["xtupid", "*diot", "tupid", "achlichen", "achlixhen", "xchlichen", "aclichen"])] == [3, 3, 3, 2, 3, 3, 3]
+    rng = np.random.default_rng(4)
+    word = lambda low, high: "".join(rng.choice(list("abc"), rng.integers(low, high)))
+    terms = sorted({word(3, 8) for _ in range(6)}) + sorted({word(4, 8) + "*" for _ in range(3)})
+    match = toxicity.Automaton(toxicity.Lexicon(terms, [3.0] * len(terms)), first_sign=True).match
+    for w in {word(1, 11) for _ in range(1500)}:
+        words, stems = [t for t in terms if t[-1] != "*"], [t[:-1] for t in terms if t[-1] == "*"]
+        near = any(len(t) >= 5 and _lev(w, t) == 1 for t in words) or any(len(s) >= 5 and min(_lev(w[:k], s) for k in range(len(w) + 1)) == 1 for s in stems)
+        assert match(w)[1] == (1 if w in words else 2 if any(w.startswith(s) for s in stems) else 3 if near else 0), w
+
+
+def test_terms_under_a_short_beginning_keep_their_edits():
+    rows = [("achl*", 50, 4.0), ("achlichen", 20, 4.0), ("bomente*", 40, 4.0), ("bomentes", 20, 4.0)]
+    assert toxicity.choose_terms(rows)[0] == ["achl*", "bomente*", "achlichen"]
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(1)
     words = np.array(["word%d" % i for i in range(200)])

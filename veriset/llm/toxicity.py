@@ -8,9 +8,10 @@ far more toxic documents than clean ones.  The other half fits the weights of a
 logistic model over a dozen features.  Only the text is ever scored.
 
 Matching.  The lexicon is a trie; its intersection with the automaton of edit
-distance one (not in the first sign; words of five signs and more) is made
-deterministic lazily: a state is a set of (trie node, edits), each step is one
-dictionary lookup, and almost every word of ordinary text dies within three signs.
+distance one (in any sign; words and word beginnings of ``LEAST_EDITED`` signs and
+more) is made deterministic lazily: a state is a set of (trie node, edits), each step
+is one dictionary lookup, and most words of ordinary text die within a few signs.
+What stands under a beginning too short for edits is kept as a term of its own.
 
 Context.  Within ``AROUND`` words a hit between quotation marks or near a verb of
 report counts as quoted, a hit near a word of address as aimed at somebody; the
@@ -41,6 +42,8 @@ from veriset.plans.scratch import Scratch
 
 SAMPLE, MOST_TERMS, MIN_ODDS, AROUND, THRESHOLD = 4000, 400, 2.5, 8, 0.7
 PREFIXES = range(4, 9)
+#: Signs of a word or a word beginning from which on one edit is allowed.
+LEAST_EDITED = 5
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*_-–—…«»“”„‘’`#%&$~"
 OPENING, CLOSING = "\"'«“„‘(", "\"'»”“’)"
 #: Verbs of report and words of address, in the corpus's languages.
@@ -74,14 +77,18 @@ class Lexicon:
 
 
 class Automaton:
-    """The lexicon's trie intersected with edit distance one, made deterministic as words ask for it."""
+    """The lexicon's trie intersected with edit distance one, made deterministic as words ask for it.
 
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.lex = lexicon
+    ``first_sign``: the first sign may be edited too, as it is wherever texts are matched.
+    """
+
+    def __init__(self, lexicon: Lexicon, first_sign: bool = False) -> None:
+        self.lex, self.first_sign = lexicon, first_sign
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.begin: list[int] = []  # the word beginning that a state completes, or -1
+        self.near: list[int] = []  # the same with one edit
         self.final: list[tuple[int, int]] = []  # term and edits if a word ends here
         self.start = self._number(frozenset({(0, 0)}))
         self.dead = self._number(frozenset())
@@ -94,8 +101,9 @@ class Automaton:
         self.states.append(items)
         self.moves.append({})
         self.begin.append(next((lex.begins[node] for node, e in items if not e and node in lex.begins), -1))
+        self.near.append(min((lex.begins[node] for node, e in items if e and node in lex.begins and len(lex.terms[lex.begins[node]]) > LEAST_EDITED), default=-1))
         exact = [lex.ends[node] for node, e in items if not e and node in lex.ends]
-        near = [lex.ends[node] for node, e in items if e and node in lex.ends and len(lex.terms[lex.ends[node]]) >= 5]
+        near = [lex.ends[node] for node, e in items if e and node in lex.ends and len(lex.terms[lex.ends[node]]) >= LEAST_EDITED]
         self.final.append((min(exact), 0) if exact else (min(near), 1) if near else (-1, 0))
         return n
 
@@ -105,7 +113,7 @@ class Automaton:
             below = self.lex.children[node]
             if c in below:
                 out.add((below[c], e))
-            if not e and node:
+            if not e and (node or self.first_sign):
                 out.add((node, 1))  # a sign too many
                 for sign, child in below.items():
                     if sign != c:
@@ -114,16 +122,18 @@ class Automaton:
                         out.add((self.lex.children[child][c], 1))  # a sign too few
         for node, e in list(out):  # the last sign may be missing
             if not e:
-                out.update((child, 1) for child in self.lex.children[node].values() if child in self.lex.ends)
+                out.update((child, 1) for child in self.lex.children[node].values() if child in self.lex.ends or child in self.lex.begins)
         self.moves[state][c] = n = self._number(frozenset(out))
         return n
 
     def match(self, word: str) -> tuple[int, int]:
-        """``(term, kind)``: kind 1 exact, 2 word beginning, 3 one edit away, 0 nothing."""
-        state, begin = self.start, -1
+        """``(term, kind)``: kind 1 exact, 2 word beginning, 3 either with one edit, 0 nothing."""
+        state, begin, near = self.start, -1, -1
         for c in word:
             if begin < 0:
                 begin = self.begin[state]
+            if near < 0:
+                near = self.near[state]
             nxt = self.moves[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
             if state == self.dead:
@@ -136,7 +146,9 @@ class Automaton:
                 begin = self.begin[state]
             if begin < 0 and term >= 0:
                 return term, 3
-        return (begin, 2) if begin >= 0 else (-1, 0)
+            if near < 0:
+                near = self.near[state]
+        return (begin, 2) if begin >= 0 else (near, 3) if near >= 0 else (-1, 0)
 
 
 N_FEATURES = 10
@@ -146,7 +158,7 @@ class Matcher:
     """Features of texts, with a bounded memory of words already matched."""
 
     def __init__(self, lexicon: Lexicon, most: int = 300_000) -> None:
-        self.lex, self.automaton, self.most = lexicon, Automaton(lexicon), most
+        self.lex, self.automaton, self.most = lexicon, Automaton(lexicon, first_sign=True), most
         self.known: dict[str, tuple[int, int] | int] = {}
 
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
@@ -211,19 +223,24 @@ def choose_terms(rows: list[tuple[str, int, float]]) -> tuple[list[str], list[fl
     """Of ``(term, toxic documents, log odds)`` the terms that say something of their own.
 
     Most frequent first and longest first; a beginning adds nothing to a word that
-    stands in nearly as many documents, nor a longer term to a chosen beginning.
+    stands in nearly as many documents, nor a longer term to a chosen beginning - but
+    for one too short for edits: terms under it are kept for their misspellings, and
+    ``MOST_TERMS`` does not count them.
     """
     chosen: dict[str, tuple[int, float]] = {}
+    own = 0
     reach: dict[str, int] = {}  # any beginning of a chosen term -> its documents
     for term, n, odds in sorted(rows, key=lambda r: (-r[1], r[0].endswith("*"), -len(r[0]), r[0])):
         stem = term.removesuffix("*")
-        if any(stem[:k] + "*" in chosen for k in range(1, len(stem) + 1)) or n <= 1.1 * reach.get(stem, 0):
+        if any(stem[:k] + "*" in chosen for k in range(LEAST_EDITED, len(stem) + 1)) or n <= 1.1 * reach.get(stem, 0):
             continue
+        under = any(stem[:k] + "*" in chosen for k in range(1, min(LEAST_EDITED, len(stem) + 1)))
+        if under and len(stem) < LEAST_EDITED or not under and own >= MOST_TERMS:
+            continue
+        own += not under
         chosen[term] = (n, odds)
         for k in range(1, len(stem) + 1):
             reach[stem[:k]] = max(reach.get(stem[:k], 0), n)
-        if len(chosen) >= MOST_TERMS:
-            break
     return list(chosen), [o for _, o in chosen.values()]
 
 
