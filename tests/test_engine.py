@@ -72,6 +72,26 @@ def test_bootstrap_repeats_and_has_a_floor(spark):
         inference.bootstrap(parts, 20)
 
 
+def test_deltas_have_a_floor_and_a_joined_twin(spark):
+    parts = views.parts(spark, DATA).localCheckpoint()
+    with pytest.raises(ValueError, match="at least"):
+        inference.deltas(parts, 40)
+    one, two = (inference.deltas(parts, 20, floor=1, most_cells=m).select("r", "leak", "size", "bg", "attr").orderBy("r").toPandas() for m in (10**6, 0))
+    pd.testing.assert_frame_equal(one, two, atol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["resample_counts", "bootstrap_delta_ci", "bootstrap_p"])
+def test_registered_bootstraps_draw_ten_thousand(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
+    a, b = catalogue.QUERIES[name](spark, DATA).toPandas(), con.sql(catalogue.SQL[name]).df()
+    cols = sorted(b.columns)
+    a, b = (x[cols].sort_values(cols, ignore_index=True) for x in (a, b))
+    pd.testing.assert_frame_equal(a.astype(b.dtypes.to_dict()), b, check_dtype=False, atol=1e-6)
+    if name == "resample_counts":
+        assert a["r"].nunique() == 10_000 and a.groupby("r")["k"].sum().eq(10).all()
+
+
 def test_split_keeps_groups_and_covers_classes():
     groups = pd.DataFrame({"component": range(30), "size": [5] + [1] * 29, "classes": [[i % 3] for i in range(30)]})
     placed = assign(groups).merge(groups, on="component").explode("classes")

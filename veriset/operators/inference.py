@@ -21,11 +21,58 @@ def weights(items: DataFrame, replicates: int) -> DataFrame:
     return draws.groupBy("r", "i").agg(F.count(F.lit(1)).alias("k")).join(ordinal, "i").select("r", "item", "k")
 
 
-def deltas(parts: DataFrame, replicates: int) -> DataFrame:
+#: Replicates that the reference asks for at least.
+FLOOR = 10_000
+#: Cells of the contribution table that may be sent to every task.
+MOST_CELLS = 20_000_000
+
+
+def deltas(parts: DataFrame, replicates: int = FLOOR, floor: int = FLOOR, most_cells: int = MOST_CELLS) -> DataFrame:
     """Per replicate: ``leak`` = default - sanitized, ``size`` = default - size control, ``attr`` = leak - size, ``bg`` = with less without class 0.
 
-    Seeds are averaged within a replicate; all runs share a replicate's draw.
+    Seeds are averaged within a replicate; all runs share a replicate's draw.  Each task
+    draws its replicates and multiplies the counts with the items x (run, class) table;
+    where that has more than ``most_cells`` cells, draws and items are joined instead.
     """
+    if replicates < floor:
+        raise ValueError(f"at least {floor} replicates")
+    n_items, n_runs, n_classes = parts.select(F.count_distinct("item"), F.count_distinct("arm", "seed"), F.max("class_id") + 1).first()
+    if not n_items or 2 * n_items * n_runs * n_classes > most_cells:
+        return _joined_deltas(parts, replicates)
+    rows = parts.groupBy("item", "arm", "seed", "class_id").agg(F.sum("inter").cast("double").alias("i"), F.sum("uni").cast("double").alias("u")).toPandas()
+    items, runs = np.unique(rows["item"]), sorted(set(zip(rows["arm"], rows["seed"], strict=True)))
+    table = np.zeros((n_items, n_runs, n_classes, 2))
+    place = {run: k for k, run in enumerate(runs)}
+    table[np.searchsorted(items, rows["item"]), [place[x] for x in zip(rows["arm"], rows["seed"], strict=True)], rows["class_id"]] = rows[["i", "u"]].to_numpy()
+    arms, flat, shape = np.array([arm for arm, _ in runs]), table.reshape(n_items, -1), table.shape[1:]
+
+    def mean(x, axis):
+        n = (~np.isnan(x)).sum(axis)
+        return np.where(n > 0, np.nansum(x, axis) / np.maximum(n, 1), np.nan)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        for batch in batches:
+            of_batch = batch.column(0).to_pylist()
+            for at in range(0, len(of_batch), 100):
+                some = of_batch[at : at + 100]
+                draws = (np.array([int.from_bytes(md5(b"%d:%d" % (r, j)).digest()[:4], "big") for r in some for j in range(n_items)]) % n_items).reshape(len(some), -1)
+                k = np.stack([np.bincount(d, minlength=n_items) for d in draws]).astype(float)
+                summed = (k @ flat).reshape(-1, *shape)
+                iou = np.where(summed[..., 1] > 0, summed[..., 0] / np.maximum(summed[..., 1], 1), np.nan)
+                of = lambda arm, first: mean(mean(iou[:, arms == arm, first:], 2), 1)  # noqa: B023, E731
+                fore = of("default", 1)
+                leak, size, bg = fore - of("sanitized", 1), fore - of("sizectrl", 1), of("default", 0) - fore
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (leak, size, bg, leak - size))], names=["r", "leak", "size", "bg", "attr"])
+
+    spark = parts.sparkSession
+    tasks = min(replicates, max(spark.sparkContext.defaultParallelism, replicates // 500))
+    return spark.range(1, replicates + 1, 1, tasks).mapInArrow(draw, "r long, leak double, size double, bg double, attr double")
+
+
+def _joined_deltas(parts: DataFrame, replicates: int) -> DataFrame:
+    """The same by a join of draws and items."""
     w = weights(parts.select("item").distinct(), replicates)
     summed = w.join(parts, "item").groupBy("r", "arm", "seed", "class_id").agg(F.sum(F.col("k") * F.col("inter")).cast("double").alias("i"), F.sum(F.col("k") * F.col("uni")).cast("double").alias("u"))
     iou = ratio(F.col("i"), F.col("u"))
@@ -58,11 +105,7 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.select("name", F.round(F.least(F.lit(1.0), F.max(F.col("left") * F.col("p")).over(by)), 6).alias("adjusted"), (F.min((F.col("p") <= alpha / F.col("left")).cast("int")).over(by) == 1).alias("rejected"))
 
 
-#: Cells of the contribution table that may be sent to every task.
-MOST_CELLS = 20_000_000
-
-
-def bootstrap(parts: DataFrame, replicates: int = 10_000, seed: int = 20260917, floor: int = 10_000) -> DataFrame:
+def bootstrap(parts: DataFrame, replicates: int = FLOOR, seed: int = 20260917, floor: int = FLOOR) -> DataFrame:
     """Replicates of one run with PCG64: ``r, every, fore``; replicates are dealt over tasks.
 
     The run's items x classes table goes to every task; a larger one than ``MOST_CELLS`` raises.

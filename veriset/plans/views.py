@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COS_HARD, COS_SOFT, HAM_HARD, HAM_SOFT = 0.40, 0.30, 16, 18
 #: run id, arm, seed, salt and share of right predictions in tenths (an inline registry).
 RUNS = [("d0", "default", 0, 0, 7), ("d1", "default", 1, 1, 7), ("d2", "default", 2, 2, 7), ("s0", "sanitized", 0, 3, 6), ("s1", "sanitized", 1, 4, 6), ("s2", "sanitized", 2, 5, 6), ("c0", "sizectrl", 0, 6, 6), ("c1", "sizectrl", 1, 7, 6), ("c2", "sizectrl", 2, 8, 7)]
-REPLICATES = 40
+REPLICATES = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
