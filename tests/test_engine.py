@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions import columns as C
 from veriset.operators import gates, inference, metrics
-from veriset.operators.cohorts import assign
+from veriset.operators.cohorts import assign, size_control
 from veriset.operators.components import connected_components
 from veriset.operators.similarity import banded_hamming, similar_pairs
 from veriset.plans import catalogue, views
@@ -92,6 +92,22 @@ def test_registered_bootstraps_draw_ten_thousand(spark, name):
         assert a["r"].nunique() == 10_000 and a.groupby("r")["k"].sum().eq(10).all()
 
 
+def test_size_control_makes_up_for_classes_that_run_out(spark):
+    quotas, supply = {0: 6, 1: 2, 2: 1}, {0: 2, 1: 5, 2: 1, 3: 3}
+    rows = [(1, 0, "test", 1)] + [(10 + 10 * c + i, c, "train", 1) for c, n in quotas.items() for i in range(n)] + [(1000 + 100 * c + i, c, "train", 1000 + 100 * c + i) for c, n in supply.items() for i in range(n)]
+    rows += [(2, 0, "val", 1), (3, 0, "val", 1), (4, 0, "val", 4)]  # fewer untouched items than quota, and no others
+    got = size_control(spark.createDataFrame(rows, "id long, label long, split string, component long")).toPandas()
+    train = got[got["split"] == "train"]
+    taken, left = {c: 0 for c in supply}, sum(quotas.values())
+    while left:  # the plain greedy; ties cost nothing in the sorted deficits
+        c = max((c for c in supply if taken[c] < supply[c]), key=lambda c: quotas.get(c, 0) - taken[c])
+        taken[c], left = taken[c] + 1, left - 1
+    counts = train.groupby("label").size().to_dict()
+    assert len(train) == 9 and sorted(quotas.get(c, 0) - counts.get(c, 0) for c in supply) == sorted(quotas.get(c, 0) - n for c, n in taken.items())
+    assert all(sorted(g["id"]) == [1000 + 100 * c + i for i in range(len(g))] for c, g in train.groupby("label"))
+    assert got[got["split"] == "val"]["id"].tolist() == [4]
+
+
 def test_split_keeps_groups_and_covers_classes():
     groups = pd.DataFrame({"component": range(30), "size": [5] + [1] * 29, "classes": [[i % 3] for i in range(30)]})
     placed = assign(groups).merge(groups, on="component").explode("classes")

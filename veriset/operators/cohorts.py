@@ -20,16 +20,29 @@ def sanitized(comps: DataFrame) -> DataFrame:
 
 
 def size_control(comps: DataFrame) -> DataFrame:
-    """As many untouched items per split and class as sanitising removes: the first ones by id.
-
-    While every class has enough untouched items, picking from the class that lacks most until
-    nothing lacks ends in just these rows.  Ranks are taken within (split, class) after
-    keeping classes with a quota only.
+    """As many untouched items per split as sanitising removes, by class as far as they go: the first ones by id.
+
+    Picking from the class that lacks most takes its item of rank rn at a deficit of
+    ``k - rn + 1``, k being its quota.  While every class has enough, that ends in the
+    first k of each.  A class that runs out leaves a shortage in its split: the others,
+    also those without a quota, make it up at deficit 0, then -1 and so on, and classes at
+    one deficit follow a hash (the reference draws lots there).  Fewer are taken only
+    where a split has no untouched items left.  Orders of a split hold deficits, or the
+    classes at the last one; never items.
     """
-    quota = sanitized(comps).groupBy("split", "label").agg(F.count(F.lit(1)).alias("k"))
-    pool = comps.where("split <> 'test'").join(_touched(comps), "component", "left_anti").join(quota, ["split", "label"])
+    quota = sanitized(comps).groupBy("split", F.col("label").alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    pool = comps.where("split <> 'test'").join(_touched(comps), "component", "left_anti").select("id", "label", "split")
     rank = F.row_number().over(Window.partitionBy("split", "label").orderBy("id"))
-    return pool.withColumn("rn", rank).where("rn <= k").select("id", "label", "split")
+    near = quota.withColumnRenamed("split", "s")
+    ranked = pool.withColumn("rn", rank).join(F.broadcast(near), (F.col("split") == F.col("s")) & F.col("label").eqNullSafe(F.col("c")), "left")
+    ranked = ranked.select("id", "label", "split", (F.coalesce("k", F.lit(0)) - F.col("rn") + 1).alias("deficit"))
+    levels = ranked.groupBy("split", "deficit").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy(F.desc("deficit")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = levels.withColumn("before", before).join(quota.groupBy("split").agg(F.sum("k").alias("k")), "split").select("split", "deficit", "n", (F.col("k") - F.col("before")).alias("room")).where("room > 0")
+    whole = ranked.join(room.where("n <= room"), ["split", "deficit"], "left_semi").select("id", "label", "split")
+    last = ranked.join(room.where("n > room"), ["split", "deficit"])
+    lot = F.row_number().over(Window.partitionBy("split").orderBy(F.xxhash64("split", "deficit", "label"), "label"))
+    return whole.unionByName(last.withColumn("lot", lot).where("lot <= room").select("id", "label", "split"))
 
 
 SHARES = {"train": 0.7, "val": 0.1, "test": 0.2}
