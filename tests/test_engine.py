@@ -1,5 +1,7 @@
 """The engine's operators on small literals, and a few catalogue queries against DuckDB."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veriset.functions import columns as C
 from veriset.operators import gates, inference, metrics
-from veriset.operators.cohorts import assign, size_control
+from veriset.operators.cohorts import SHARES, assign, size_control
 from veriset.operators.components import connected_components
 from veriset.operators.similarity import banded_hamming, similar_pairs
 from veriset.plans import catalogue, views
@@ -114,6 +116,33 @@ def test_split_keeps_groups_and_covers_classes():
     assert placed.groupby("classes")["new_split"].nunique().eq(3).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_swap_of_groups_improves_the_split(seed):
+    draw = random.Random(seed)
+    groups = pd.DataFrame({"component": range(40), "size": [draw.choice([1, 1, 2, 3, 5, 9]) for _ in range(40)], "classes": [sorted(draw.sample(range(5), draw.choice([1, 1, 2]))) for _ in range(40)]})
+    placed = assign(groups)["new_split"].tolist()
+    rows = list(zip(groups["size"], groups["classes"], strict=True))
+
+    def look(where):
+        total, out, covered = sum(n for n, _ in rows), 0.0, True
+        for c in (None, *range(5)):
+            mine = [(n, s) for (n, cs), s in zip(rows, where, strict=True) if c is None or c in cs]
+            shares = [abs(sum(n for n, s in mine if s == x) / sum(n for n, _ in mine) - y) for x, y in SHARES.items()]
+            out += sum(shares) / (1 if c is None else 5)
+            covered &= len(mine) < 3 or len({s for _, s in mine}) == 3
+        return out, covered
+
+    base = look(placed)
+    assert base[1]
+    for i in range(40):
+        for j in range(i):
+            if placed[i] != placed[j]:
+                other = placed.copy()
+                other[i], other[j] = placed[j], placed[i]
+                value, covered = look(other)
+                assert not covered or value >= base[0] - 1e-11
+
+
 def test_lists_and_csv(spark, tmp_path):
     keys = spark.createDataFrame([("b",), ("a",)], "key string")
     digest = tables.write_list(keys, str(tmp_path / "l"))

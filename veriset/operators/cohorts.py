@@ -53,8 +53,15 @@ def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.D
 
     The balance is the sum over classes of the distance of each split's share from its
     target, plus that of all items.  Then classes of three or more groups that miss a
-    split get one group moved there, and single moves are made while they help.
+    split get one group moved there.  At last the best swap of two groups of different
+    splits is made, as long as one lowers the balance by more than 1e-12 and leaves no such
+    class without a split; equal ones in the order of their components.  Groups of one
+    size and the same classes are alike, so only kinds of groups are compared.
     """
+    from bisect import insort
+
+    import numpy as np
+
     shares = shares or SHARES
     names = list(shares)
     frequency: dict[int, int] = {}
@@ -99,17 +106,80 @@ def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.D
                 able = [g for g in order if c in groups["classes"].iat[g] and place[g] != s and may_leave(g)]
                 if able:
                     move(min(able, key=lambda g: (round(cost(g, place[g], -1) + cost(g, s, 1), 12), g)), s)
-    for _ in range(3):
-        moved = False
-        for g in order:
-            if not may_leave(g):
-                continue
-            best = min((s for s in names if s != place[g]), key=lambda s: cost(g, s, 1))
-            if cost(g, place[g], -1) + cost(g, best, 1) < -1e-9:
-                move(g, best)
-                moved = True
-        if not moved:
+    kinds: dict[tuple, int] = {}
+    kind = [kinds.setdefault((int(n), tuple(sorted(set(cs)))), len(kinds)) for n, cs in zip(groups["size"], groups["classes"], strict=True)]
+    weight = np.array([n for n, _ in kinds], float)
+    has = {c: np.array([c in cs for _, cs in kinds]) for c in frequency}
+    key = groups["component"].tolist()
+    members: dict[tuple[int, str], list] = {}
+    for g in range(len(groups)):
+        members.setdefault((kind[g], place[g]), []).append((key[g], g))
+    for some in members.values():
+        some.sort()
+
+    def balance() -> float:
+        out = sum(abs(sizes[s] / total - shares[s]) for s in names)
+        for c in sorted(frequency):
+            out += sum(abs(held[s][c] / goal[c] - shares[s]) for s in names) / len(frequency)
+        return out
+
+    def missed(c: int, a: int = 0, b: int = 0, left: str = "", right: str = "") -> int:
+        """Whether a class lacks a split, with a and b groups more in two of them."""
+        return int(frequency[c] >= 3 and any(counts[c][s] + (a if s == left else b if s == right else 0) <= 0 for s in names))
+
+    def swaps(left: str, right: str):
+        """Kinds in two splits and, in blocks of rows, the change of the balance by each swap; infinite where a class would lack a split."""
+        here, there = (np.array(sorted(k for (k, s), some in members.items() if s == x and some), int) for x in (left, right))
+        n, m = weight[here], weight[there]
+        off = lambda now, of, share, change: np.abs((now + change) / of - share)
+        both = lambda now_l, now_r, of, change: off(now_l, of, shares[left], change) + off(now_r, of, shares[right], -change) - abs(now_l / of - shares[left]) - abs(now_r / of - shares[right])
+        lacking = sum(missed(c) for c in frequency)
+        step = max(1, 2_000_000 // max(1, len(there)))
+        for at in range(0, len(here), step):
+            part = n[at : at + step]
+            delta = both(sizes[left], sizes[right], total, m[None, :] - part[:, None])
+            lacks = np.full(delta.shape, lacking)
+            for c in sorted(frequency):
+                l, r = np.flatnonzero(has[c][here[at : at + step]]), np.flatnonzero(has[c][there])  # noqa: E741
+                change = lambda x: both(held[left][c], held[right][c], goal[c], x) / len(frequency)  # noqa: B023, E731
+                gone, come = change(-part[l]), change(m[r])
+                no, yes = missed(c, -1, 1, left, right) - missed(c), missed(c, 1, -1, left, right) - missed(c)
+                delta[l] += gone[:, None]
+                delta[:, r] += come
+                delta[np.ix_(l, r)] += change(m[r][None, :] - part[l][:, None]) - gone[:, None] - come
+                lacks[l] += no
+                lacks[:, r] += yes
+                lacks[np.ix_(l, r)] -= no + yes
+            yield here[at : at + step], there, np.where(lacks == 0, delta, np.inf)
+
+    def swap(g: int, h: int) -> None:
+        s, t = place[g], place[h]
+        move(g, t)
+        move(h, s)
+
+    while True:
+        near, least = [], -1e-12
+        for i, left in enumerate(names):
+            for right in names[i + 1 :]:
+                for here, there, delta in swaps(left, right):
+                    low = delta.min() if delta.size else np.inf
+                    if low < -1e-12:
+                        least = min(least, low)
+                        x, y = np.nonzero((delta < -1e-12) & (delta <= least + 1e-9))
+                        near += [(d, members[k, left][0][1], members[l, right][0][1]) for d, k, l in zip(delta[x, y].tolist(), here[x].tolist(), there[y].tolist(), strict=True)]
+        near = [(g, h) for d, g, h in near if d <= least + 1e-9]
+        if not near:
             break
+        ranked = []
+        for g, h in near:
+            swap(g, h)
+            ranked.append((balance(), *sorted((key[g], key[h])), g, h))
+            swap(g, h)
+        *_, g, h = min(ranked)
+        for x, other in ((g, place[h]), (h, place[g])):
+            members[kind[x], place[x]].remove((key[x], x))
+            insort(members.setdefault((kind[x], other), []), (key[x], x))
+        swap(g, h)
     return pd.DataFrame({"component": groups["component"].to_numpy(), "new_split": [place[g] for g in range(len(groups))]})
 
 
