@@ -143,6 +143,15 @@ def test_no_swap_of_groups_improves_the_split(seed):
                 assert not covered or value >= base[0] - 1e-11
 
 
+def test_group_classes_count_every_item(spark):
+    got = catalogue.QUERIES["group_classes"](spark, DATA).toPandas().sort_values("gid")
+    comps = views.comps(spark, DATA).toPandas()
+    want = comps.groupby("component").agg(size=("id", "size"), n_classes=("label", "nunique"), first_id=("id", "min")).reset_index()
+    want = want.assign(alone=want["size"].eq(1)).sort_values(["alone", "first_id"])
+    assert got["size"].sum() == len(comps)
+    assert got[["component", "size", "n_classes"]].values.tolist() == want[["component", "size", "n_classes"]].values.tolist()
+
+
 def test_lists_and_csv(spark, tmp_path):
     keys = spark.createDataFrame([("b",), ("a",)], "key string")
     digest = tables.write_list(keys, str(tmp_path / "l"))
