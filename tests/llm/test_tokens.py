@@ -25,3 +25,15 @@ def test_ids_are_the_librarys(file, kind):
         got = own.encode([t.encode() for t in part])
         want = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
         assert [bytes(g) for g in got] == want
+
+
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens_are_read_as_by_default(file, kind):
+    from tokenizers import Tokenizer
+
+    own, library = Encoder(P.path(file), kind), Tokenizer.from_file(P.path(file))
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = ODD + [f"{a}{t}{b}" for t in added + [t.upper() for t in added] for a, b in (("", ""), ("see ", " here"), ("x", "y"), ("a\n", "\nb "), ("A  ", "."))]
+    want = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [bytes(g) for g in own.encode([t.encode() for t in texts])] == want
+    assert any(library.token_to_id(t) in np.frombuffer(w, "<u4") for t in added for w in want)

@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the
 ids of the parts joined are the ids of the text.  Parts repeat a lot; each worker
 keeps the ids of those it met, as little-endian bytes, in two generations of
-bounded size.  A text that could be read otherwise goes to the library whole.
+bounded size.  A text that could be read otherwise goes to the library whole, as does
+one that holds an added token (as it is or lower-cased).
 """
 
 from __future__ import annotations
@@ -74,7 +75,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added += [t.lower() for t in self.added if t.lower() != t]
+        self.leads = {x.encode() for t in self.added for x in (t[0], t[0].lower(), t[0].upper())}
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
         self.bare, self.closes = self._bare(path) if kind == "word" else (None, np.zeros(0, bool))
         self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
@@ -148,6 +151,13 @@ class Encoder:
         known.update(zip(other, otherwise(other), strict=True))
         return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
 
+    def _holds_added(self, body: bytes) -> bool:
+        if not any(x in body for x in self.leads):
+            return False
+        text = body.decode("utf-8")
+        low = text.lower()
+        return any(t in text or t in low for t in self.added)
+
     def _words(self, body: bytes) -> list[bytes] | None:
         """Words of a text in lower-case A-Z; None if it must go to the library whole."""
         if any(x in body for x in (_FOREIGN_LEADS[:4] if body.isascii() else _FOREIGN_LEADS)) and _FOREIGN.search(body):
@@ -167,7 +177,9 @@ class Encoder:
         spans: list[tuple[int, int] | None] = []
         lead = 0 if self.kind == "word" else 4
         for b in bodies:
-            if self.kind == "word":
+            if self._holds_added(b):
+                parts = None
+            elif self.kind == "word":
                 parts = self._words(b)
             elif _ODD.search(b) or len(self.newline) != lead:
                 parts = None
