@@ -87,11 +87,48 @@ def test_packing_places_every_id_once(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_best_cuts_are_the_cheapest():
-    at, cost = np.array([0, 3, 5, 9, 10, 14]), np.array([0, 4.0, 0, 4, 0, 0])
-    ends = packing.best_cuts(at, cost, 6)
-    best = min((sum(6 - (b - a) for a, b in zip((0, *c), (*c, 14), strict=True)) + sum(cost[list(at).index(x)] for x in c), c) for c in [(5, 10), (3, 9), (5, 9), (3, 5, 10), (3, 5, 9)] if all(b - a <= 6 for a, b in zip((0, *c), (*c, 14), strict=True)))
-    assert sum(6 - (b - a) for a, b in zip([0, *at[ends][:-1]], at[ends], strict=True)) + cost[ends].sum() == best[0]
+def _cheapest(at, cost, window):
+    """The least cost of a stream by plain dynamic programming over all possible cuts."""
+    pos, least = [0, *at], [0.0]
+    for j in range(1, len(pos) - 1):
+        least.append(min(least[i] + window - (pos[j] - pos[i]) for i in range(j) if pos[j] - pos[i] <= window) + cost[j - 1])
+    return min(least[i] + packing.tail_cost(pos[-1] - pos[i], window) for i in range(len(pos) - 1) if pos[-1] - pos[i] <= window)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_streamed_cuts_are_the_cheapest_of_the_whole_stream(seed):
+    rng = np.random.default_rng(seed)
+    steps = rng.integers(1, 7, 400)
+    at, cost = np.cumsum(steps).tolist(), rng.choice([0.0, 4.0, 32.0], 400).tolist()
+    cuts, ends = packing.Cuts(16), []
+    for k in range(0, 400, 25):
+        cuts.add(at[k : k + 25], cost[k : k + 25])
+        ends += cuts.final()
+    assert len(cuts.pos) < 100  # what is final is not held
+    tail = cuts.close()
+    assert cuts.cost == pytest.approx(_cheapest(at, cost, 16))
+    whole = [0, *ends, *tail]
+    assert whole[-1] == at[-1] and max(np.diff(whole)) <= 16
+
+    def paid(part):
+        return sum(16 - (y - x) for x, y in zip([0, *part[:-1]], part, strict=True)) + sum(cost[at.index(e)] for e in part) + packing.tail_cost(at[-1] - part[-1], 16)
+
+    able = [ends + tail[:k] for k in range(len(tail)) if (ends + tail[:k])[-1] in at and at[-1] - (ends + tail[:k])[-1] <= 16]
+    assert any(paid(part) == pytest.approx(cuts.cost) for part in able)
+
+
+def test_packing_does_not_depend_on_its_blocks():
+    rng = np.random.default_rng(8)
+    ends = np.zeros(50, bool)
+    ends[:3] = True
+    docs = [rng.integers(0, 50, n).astype("<u4").tobytes() for n in rng.integers(1, 300, 200)]
+    made = []
+    for block in (1, 500, 10**9):
+        packer, rows = packing.Packer(ends, 256, block), []
+        for i, d in enumerate(docs):
+            rows += packer.add(i, d)
+        made.append(rows + list(packer.end()))
+    assert made[0] == made[1] == made[2]
 
 
 def _sets(k):

@@ -5,16 +5,23 @@ document ends (free), sentence ends (a small truncation penalty) or, where a
 sentence is longer than ``HARD_STEP`` ids, within it (a large one).  Dynamic
 programming finds the cuts with the least padding plus penalties: the best start
 of a window that ends at a cut is the least ``cost + position`` over the last
-``window`` ids, which a monotone queue gives in constant time.  A stream is solved
-in blocks of ``BLOCK`` ids; the last windows of a block are solved again with the
-next, so blocks leave no padding behind.  The one short window at the end of a
-stream is cut into powers of two, which need no padding, where that costs less.
+``window`` ids, which a monotone queue gives in constant time.  The one short window
+at the end of a stream is cut into powers of two, which need no padding, where that
+costs less.
 
-Ranges are sorted tasks of bounded memory, whatever the number of documents.
+The cuts are the cheapest ones of the whole stream, though it is read once: the
+cheapest paths to all possible cuts within the last window are followed back to
+where they meet, and the windows before that point are final, since every later
+window begins at one of those cuts.  Ids are held only from there on: in practice
+some windows of them (a stream whose paths never met would be held whole).
+
+Ranges are sorted tasks; a very long document costs a task its text, its ids and
+some bytes for each sentence.
 
 Defined results: a null or empty text is its end id alone; a document longer than
 a window is cut and continues in the next; rows that share an id are documents
-side by side; an empty table gives no rows; other columns are not read.
+side by side, in an order given by their texts; a null id comes first; an empty
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,127 +39,143 @@ from veriset.llm.common import chunks, prepare, table, texts
 from veriset.llm.tokens import encoder
 from veriset.plans.scratch import Scratch
 
-WINDOW, SENTENCE_COST, HARD_COST, HARD_STEP, BLOCK = 4096, 4, 32, 64, 1 << 18
+WINDOW, SENTENCE_COST, HARD_COST, HARD_STEP = 4096, 4, 32, 64
+#: Ids after which the paths are followed back; this changes no cut.
+BLOCK = 1 << 16
 PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64())])
 
 
-def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW, open_end: bool = False) -> list[int]:
-    """Indices into ``at`` (ascending; at[0] = 0 is the start) of the cheapest window ends.
-
-    The last position is the last end, or with ``open_end`` any position within a
-    window of it, whichever costs least: the stream goes on there.  Consecutive
-    positions must be at most ``window`` apart.
-    """
-    pos, pen = at.tolist(), cost.tolist()
-    back, least = [0] * len(pos), [0.0] * len(pos)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost + position, position, index; costs ascend
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while queue[0][1] < p - window:
-            queue.popleft()
-        key, _, i = queue[0]
-        back[j] = i
-        least[j] = value = key - p + window + pen[j]
-        value += p
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, p, j))
-    j = len(pos) - 1
-    if open_end:
-        j = min((k for k in range(j, 0, -1) if pos[k] > pos[j] - window), key=least.__getitem__)
-    cuts = []
-    while j:
-        cuts.append(j)
-        j = back[j]
-    return cuts[::-1]
-
-
 def powers(n: int, window: int = WINDOW) -> list[int]:
     """Window lengths for the ``n`` ids at a stream's end: one padded window, or powers of two if cheaper."""
     parts = [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
     return parts if (len(parts) - 1) * HARD_COST < window - n else [n]
 
 
+def tail_cost(n: int, window: int = WINDOW) -> int:
+    """What ``powers`` costs."""
+    return min(window - n, (n.bit_count() - 1) * HARD_COST)
+
+
+class Cuts:
+    """The cheapest window ends of a stream of possible cuts, of which consecutive ones are at most ``window`` apart."""
+
+    def __init__(self, window: int = WINDOW) -> None:
+        self.window = window
+        self.pos, self.back, self.least = [0], [0], [0.0]  # of every possible cut since the last final one
+        self.queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost + position, position, index; costs ascend
+
+    def add(self, at: list[int], cost: list[float]) -> None:
+        """Possible cuts in ascending order and what it costs to cut there."""
+        pos, back, least, queue, window = self.pos, self.back, self.least, self.queue, self.window
+        for p, c in zip(at, cost, strict=True):
+            while queue[0][1] < p - window:
+                queue.popleft()
+            key, _, i = queue[0]
+            value = key - p + window + c
+            j = len(pos)
+            pos.append(p)
+            back.append(i)
+            least.append(value)
+            value += p
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, p, j))
+
+    def _chain(self, j: int) -> list[int]:
+        out = []
+        while j:
+            out.append(j)
+            j = self.back[j]
+        return out[::-1]
+
+    def final(self) -> list[int]:
+        """The ends that all cheapest paths share so far; they are forgotten."""
+        first = len(self.pos) - 1
+        while first and self.pos[first - 1] >= self.pos[-1] - self.window:
+            first -= 1
+        nodes = set(range(first, len(self.pos)))
+        while len(nodes) > 1:  # the latest one goes back until all are one
+            j = max(nodes)
+            nodes.remove(j)
+            nodes.add(self.back[j])
+        meet = nodes.pop()
+        ends = [self.pos[j] for j in self._chain(meet)]
+        if meet:
+            self.pos, self.least = self.pos[meet:], self.least[meet:]
+            self.back = [0, *(j - meet for j in self.back[meet + 1 :])] if len(self.pos) > 1 else [0]
+            self.back = [max(j, 0) for j in self.back]  # of cuts that no path uses any more
+            self.queue = deque((key, p, j - meet) for key, p, j in self.queue)
+        return ends
+
+    def close(self) -> list[int]:
+        """The remaining ends, the last being that of the stream; its last window may be cut into powers of two."""
+        end = self.pos[-1]
+        able = [j for j in range(len(self.pos) - 1) if self.pos[j] >= end - self.window]
+        if not able:
+            return []
+        start = min(able, key=lambda j: (self.least[j] + tail_cost(end - self.pos[j], self.window), j))
+        ends = [self.pos[j] for j in self._chain(start)]
+        at = self.pos[start]
+        self.cost = self.least[start] + tail_cost(end - at, self.window)  # of the whole stream
+        for n in powers(end - at, self.window):
+            at += n
+            ends.append(at)
+        return ends
+
+
 class Packer:
     """Documents in, pieces out: ``(id, start, length, crc32, doc_tokens, seq, offset)``."""
 
     def __init__(self, sentence_end: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> None:
-        self.sentence_end, self.window, self.block = sentence_end, window, block
-        self.docs: list[list] = []  # id, ids as bytes, ids already placed
-        self.held = self.seq = 0
+        self.sentence_end, self.block, self.cuts = sentence_end, block, Cuts(window)
+        self.docs: deque[list] = deque()  # id, ids as bytes, ids already placed
+        self.placed = self.read = self.followed = self.seq = 0
 
     def add(self, doc: int | None, ids: bytes) -> Iterator[tuple]:
         self.docs.append([doc, ids, 0])
-        self.held += len(ids) // 4
-        if self.held >= self.block:
-            yield from self._solve(False)
+        values = np.frombuffer(ids, "<u4")
+        at, cost = possible_cuts(values, self.sentence_end)
+        self.cuts.add((at + self.read).tolist(), cost.tolist())
+        self.read += len(values)
+        if self.read - self.followed >= self.block:
+            self.followed = self.read
+            yield from self._place_all(self.cuts.final())
 
     def end(self) -> Iterator[tuple]:
-        if self.held:
-            yield from self._solve(True)
-
-    def _solve(self, last: bool) -> Iterator[tuple]:
-        at, cost, base = [np.zeros(1, np.int64)], [np.zeros(1)], 0
-        for _, ids, done in self.docs:
-            values = np.frombuffer(ids, "<u4")[done:]
-            n = len(values)
-            inner = np.flatnonzero(self.sentence_end[values[:-1]]) + 1
-            stops = np.concatenate(([0], inner, [n]))
-            pen = np.full(len(inner) + 1, float(SENTENCE_COST))
-            pen[-1] = 0
-            gaps = np.flatnonzero(np.diff(stops) > HARD_STEP)
-            if len(gaps):
-                extra = np.concatenate([np.arange(stops[g] + HARD_STEP, stops[g + 1], HARD_STEP) for g in gaps])
-                where = np.concatenate((stops[1:], extra))
-                order = np.argsort(where, kind="stable")
-                at.append(where[order] + base)
-                cost.append(np.concatenate((pen, np.full(len(extra), float(HARD_COST))))[order])
-            else:
-                at.append(stops[1:] + base)
-                cost.append(pen)
-            base += n
-        points = np.concatenate(at)
-        ends = [int(points[j]) for j in best_cuts(points, np.concatenate(cost), self.window, not last)]
-        if last:
-            tail = ends.pop()
-            begin = ends[-1] if ends else 0
-            for n in powers(tail - begin, self.window):
-                begin += n
-                ends.append(begin)
-        else:
-            ends = [e for e in ends if e <= base - 4 * self.window]
-        begin = 0
+        yield from self._place_all(self.cuts.close())
+
+    def _place_all(self, ends: list[int]) -> Iterator[tuple]:
         for e in ends:
-            yield from self._place(e - begin)
-            begin = e
-        self.held = base - begin
+            yield from self._place(e - self.placed)
+            self.placed = e
 
     def _place(self, n: int) -> Iterator[tuple]:
-        offset, drop = 0, 0
-        for entry in self.docs:
-            if offset == n:
-                break
-            doc, ids, done = entry
+        offset = 0
+        while offset < n:
+            doc, ids, done = entry = self.docs[0]
             total = len(ids) // 4
             take = min(total - done, n - offset)
             yield doc, done, take, zlib.crc32(memoryview(ids)[4 * done : 4 * (done + take)]), total, self.seq, offset
             offset += take
             entry[2] = done + take
-            drop += entry[2] == total
-        del self.docs[:drop]
+            if entry[2] == total:
+                self.docs.popleft()
         self.seq += 1
 
 
-def sentence_ends(path: str) -> np.ndarray:
-    """Which ids close a sentence: tokens whose last sign but quotes and brackets is a full stop, ! or ?."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(path).get_vocab()
-    out = np.zeros(max(vocab.values()) + 1, bool)
-    for token, i in vocab.items():
-        body = token.removesuffix("</w>").rstrip("\"')]}»”’")
-        out[i] = token.endswith("</w>") and body.endswith((".", "!", "?", "…", "。"))
-    return out
+def possible_cuts(ids: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places behind which a document may be cut, ascending, and the penalty of each; its end is free."""
+    inner = np.flatnonzero(sentence_end[ids[:-1]]) + 1
+    stops = np.concatenate(([0], inner, [len(ids)]))
+    pen = np.full(len(inner) + 1, float(SENTENCE_COST))
+    pen[-1] = 0
+    gaps = np.flatnonzero(np.diff(stops) > HARD_STEP)
+    if not len(gaps):
+        return stops[1:], pen
+    extra = np.concatenate([np.arange(stops[g] + HARD_STEP, stops[g + 1], HARD_STEP) for g in gaps])
+    where = np.concatenate((stops[1:], extra))
+    order = np.argsort(where, kind="stable")
+    return where[order], np.concatenate((pen, np.full(len(extra), float(HARD_COST))))[order]
 
 
 def _kernel(tokenizer: str, kind: str, end_id: int, window: int) -> Callable:
@@ -163,10 +186,10 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, kind: str, end_id:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    encode, end = encoder(tokenizer, kind).encode, np.array([end_id], "<u4").tobytes()
-    packer, rows = Packer(sentence_ends(tokenizer), window), []
+    tool, end = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes()
+    packer, rows = Packer(tool.sentence_ends, window), []
     for batch in chunks(batches):
-        for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
             rows.extend(packer.add(doc, ids + end))
         if len(rows) > 10_000:
             yield _batch(rows, part)
@@ -186,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, w
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "packing")
-    ranged = texts(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("body"))
+    ranged = texts(docs, id_col, text_col).repartitionByRange("id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
     pieces = scratch.cut(ranged.mapInArrow(_kernel(tokenizer, kind, end_id, window), "id long, start long, length long, ids_crc32 long, doc_tokens long, part int, seq long, offset long"), "pieces")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     bases = pieces.groupBy("part").agg((F.max("seq") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -15,8 +15,9 @@ its own attempt; only files in the manifest count, so a lost or repeated attempt
 leaves nothing that is read.  Tasks stream: one batch of texts at a time.
 
 Defined results: a null or empty text is the end id alone; rows that share an id
-are records side by side; a null id comes first; an empty table gives no records;
-other columns are not read.
+are records side by side, in an order given by their texts; a null id comes first;
+an empty table gives no records; other columns are not read, whatever their names.
+A very long text costs a task its bytes, its words and its ids, once each.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     """Write the files under ``folder`` (a URI that all executors reach); the manifest, a row per file."""
     spark = docs.sparkSession
     prepare(spark)
-    ranged = texts(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id")
+    ranged = texts(docs, id_col, text_col).repartitionByRange("id", F.xxhash64("body")).sortWithinPartitions("id", F.xxhash64("body"), "body")
     written = ranged.mapInArrow(_writer(f"{folder}/files", tokenizer, kind, end_id), MANIFEST)
     path = f"{folder}/manifest"
     written.write.parquet(path)

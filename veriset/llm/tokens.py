@@ -3,7 +3,7 @@
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the
 ids of the parts joined are the ids of the text.  Parts repeat a lot; each worker
 keeps the ids of those it met, as little-endian bytes, in two generations of
-bounded size.  A text that could be read otherwise goes to the library whole, as does
+``CACHE_BYTES`` each.  A text that could be read otherwise goes to the library whole, as does
 one that holds an added token (as it is or lower-cased).
 """
 
@@ -14,8 +14,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Parts in a generation of the cache (about 200 bytes each), by kind of tokenizer.
-CACHE = {"byte": 800_000, "word": 800_000}
+#: Bytes that a generation of a worker's cache may take, keys, values and their places counted.  A larger
+#: cache is no faster: most parts that are not among the frequent ones never come again.
+CACHE_BYTES = 12 << 20
+#: What a pair of bytes objects and its place in a dictionary take beside the bytes themselves.
+ENTRY_BYTES = 170
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: What every match of _FOREIGN begins with; to look for these first is several times faster.
@@ -32,13 +35,23 @@ _PROBE = "stupid straße élève niño zzqxj a ÿ"
 
 
 class _Parts:
-    """Ids of parts as bytes; the older generation goes when the younger is full."""
+    """Ids of parts as bytes; the older generation goes when the younger holds ``most`` bytes.
+
+    What one call brings is kept until the next, so a call should ask for a bounded number of parts.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int) -> None:
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.held = encode, most, 0
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def put(self, fresh: dict[bytes, bytes]) -> None:
+        size = ENTRY_BYTES * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        if self.held and self.held + size > self.most:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young.update(fresh)
+        self.held += size
+
     def look_up(self, parts: list[bytes]) -> list[bytes]:
         values = list(map(self.young.get, parts))
         absent = [i for i, v in enumerate(values) if v is None]
@@ -55,12 +68,22 @@ class _Parts:
         found.update(zip(missing, self.encode(list(missing)), strict=True))
         for i in absent:
             values[i] = found[parts[i]]
-        if len(self.young) + len(found) > self.most:
-            self.young, self.old = {}, self.young
-        self.young.update(found)
+        self.put(found)
         return values
 
 
+def _ends_sentence(token: str) -> bool:
+    """Tokens whose last sign but quotes and brackets is a full stop, ! or ?."""
+    return token.endswith("</w>") and token.removesuffix("</w>").rstrip("\"')]}»”’").endswith((".", "!", "?", "…", "。"))
+
+
+def _ids(vocab: dict[str, int], rule: Callable[[str], bool]) -> np.ndarray:
+    """Which ids have tokens that keep the rule."""
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for token, i in vocab.items() if rule(token)]] = True
+    return out
+
+
 class Encoder:
     """``encode(bodies) -> ids as little-endian uint32 bytes`` for one tokenizer file.
 
@@ -79,34 +102,25 @@ class Encoder:
         self.added += [t.lower() for t in self.added if t.lower() != t]
         self.leads = {x.encode() for t in self.added for x in (t[0], t[0].lower(), t[0].upper())}
         self.newline = self._call(["\n"])[0] if kind == "byte" else b""
-        self.bare, self.closes = self._bare(path) if kind == "word" else (None, np.zeros(0, bool))
+        vocab = self.tokenizer.get_vocab()
+        self.sentence_ends = _ids(vocab, _ends_sentence)
+        self.bare, self.closes = self._bare(vocab) if kind == "word" else (None, np.zeros(0, bool))
         self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
         self.plain, self.stopped = (_PLAIN, _STOPPED) if kind == "word" else (_LETTERS, _LETTERS_STOPPED)
-        self.opens = self._opens() if kind == "byte" else np.zeros(0, bool)
-        self.parts = _Parts(self._cached_parts, CACHE[kind])
+        self.opens = _ids(vocab, lambda token: token.startswith("\u0120")) if kind == "byte" else np.zeros(0, bool)  # ids that begin with a space
+        self.parts = _Parts(self._cached_parts, CACHE_BYTES)
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _bare(self, path: str) -> tuple:
+    def _bare(self, vocab: dict[str, int]) -> tuple:
         """The same model for plain words, without the passes that leave them as they are; and the ids that end a word."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        bare = Tokenizer.from_file(path)
-        vocab = bare.get_vocab()
-        closes = np.zeros(max(vocab.values()) + 1, bool)
-        closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        bare.normalizer = None
+        bare = Tokenizer(self.tokenizer.model)  # shares the vocabulary
         bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         same = bare.encode(_PROBE, add_special_tokens=False).ids == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
-        return (bare if same else None), closes
-
-    def _opens(self) -> np.ndarray:
-        """The ids that begin with a space."""
-        vocab = self.tokenizer.get_vocab()
-        opens = np.zeros(max(vocab.values()) + 1, bool)
-        opens[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
-        return opens
+        return (bare if same else None), _ids(vocab, lambda token: token.endswith("</w>"))
 
     def _spaced(self, words: list[bytes]) -> list[bytes]:
         """Ids of plain words with a space before each, encoded as one text and cut before every id that begins with one."""
@@ -145,9 +159,7 @@ class Encoder:
             else:
                 other.append(p)
         plainly, otherwise = (self._plain, self._word_parts) if self.kind == "word" else (self._spaced, self._byte_parts)
-        fresh = dict(zip(plain, plainly(list(plain)), strict=True))
-        young.update(fresh)
-        known |= fresh
+        known |= zip(plain, plainly(list(plain)), strict=True)
         known.update(zip(other, otherwise(other), strict=True))
         return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
 
