@@ -7,6 +7,7 @@ re-read, never a replay of the whole loop, and the next plan gets real sizes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The session's checkpoint folder; where none is set a temporary one, in local mode alone."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="veriset-")
@@ -46,10 +49,13 @@ class Scratch:
         out._veriset_path = path
         return out
 
+    def remove(self, *paths: str) -> None:
+        """Delete folders below the root."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables:
-            if path := getattr(table, "_veriset_path", None):
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
+        self.remove(*(path for t in tables if (path := getattr(t, "_veriset_path", None))))
