@@ -26,9 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents hold stay in the one of the largest id; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    count = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", count).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, length_col="n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +36,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows alike in id and text share their copies' greatest number."""
-    marked = docs.withColumn("_row", F.xxhash64("text"))
-    mixed = mixing.mix(marked, mixing.n_words(F.col("text")), carry=("_row",)).where("copies > 0")
-    copies = mixed.groupBy("id", "_row").agg(F.max("copies").alias("_copies")).withColumnRenamed("_row", "_with")
-    taken = marked.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("_with")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it; of rows alike in every column one is written as often as all are taken."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = {f"h{k}": F.xxhash64(F.lit(k), *columns, *(c.isNull() for c in columns)) for k in (1, 2)}
+    mixed = mixing.mix(docs, mixing.n_words(F.col("text")), carry=key)
+    copies = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
+    taken = docs.select(F.struct(*columns).alias("row"), *(c.alias(k) for k, c in key.items())).join(copies, list(key))
+    rows = taken.where("alike = 1").unionByName(taken.where("alike > 1").dropDuplicates(list(key)))
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veriset.llm import hnsw, license_scan, line_dedup, minhash, mixing, packing, repetition, sharding, token_records, toxicity
 from veriset.plans.scratch import Scratch
@@ -43,13 +44,105 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty.drop("size"), mixing.n_words(empty["text"])).count() == 0
 
 
+def test_water_fill_equals_rounds_of_capping(spark):
+    sizes = {None: 50, "a": 3, "b": 1000, "c": 0, "d": 40, "e": 7}
+    rows = [(i, s, n) for i, (s, n) in enumerate(sizes.items())]
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, n long"), F.col("n")).collect()}
+    names = ["a", "b", "c", "d", "e", None]
+    weight, whole, capped = {s: 1 + k % 3 for k, s in enumerate(names)}, sum(sizes.values()), set()
+    while True:
+        level = (whole - sum(3 * sizes[s] for s in capped)) / sum(weight[s] for s in names if s not in capped)
+        over = {s for s in names if s not in capped and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    assert got == pytest.approx({s: 3 * sizes[s] if s in capped else level * weight[s] for s in names}) and sum(got.values()) == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("head", [0, 8, 1000])
+def test_mix_is_systematic_sampling(spark, head):
+    """Floor or ceiling of what each document expects, one offset a source, a miss within the stated bound, the same at each run."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "s%d" % min(rng.integers(0, 9), 5), int(rng.pareto(1.2) * 20) + 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = mixing.mix(docs, F.col("n"), head=head).toPandas()
+    assert got.equals(mixing.mix(docs.repartition(7), F.col("n"), head=head).toPandas().set_index("id").loc[got["id"]].reset_index()[got.columns])
+    for _, g in got.groupby("source"):
+        expected = (g["target"] / g["source_size"]).iloc[0]
+        assert g["copies"].between(np.floor(expected), np.ceil(expected)).all()
+        assert abs(g["copies"].sum() - expected * len(g)) < 1 + 1e-9
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
+
+
+def test_arranged_documents_miss_less():
+    rng = np.random.default_rng(1)
+    sizes, share, falling, laid = np.sort(rng.lognormal(4, 1.2, 600))[::-1], 0.37, [], []
+    place = mixing.arrange(sizes, share)
+    assert sorted(place) == list(range(600))
+    ordered = np.empty(600)
+    ordered[place] = sizes
+    for u in np.linspace(0, 0.999, 200):
+        take = np.floor(share * np.arange(1, 601) + u) - np.floor(share * np.arange(600) + u)
+        falling.append(abs((take * sizes).sum() - share * sizes.sum()))
+        laid.append(abs((take * ordered).sum() - share * sizes.sum()))
+    assert max(laid) < 0.5 * max(falling) and np.mean(laid) < 0.2 * np.mean(falling)
+
+
 def test_line_dedup(docs, empty):
-    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    assert (rows[3].text, rows[4].text, rows[5].text) == ("first", "second", TEXTS[5])
-    assert rows[0].text is None and rows[0]._n_lines == 1 and rows[3]._n_dropped == 1 and rows[5]._n_dropped == 0
+    rows = {r.row.doc_id: r for r in line_dedup.marked_lines(docs).collect()}
+    assert (rows[3].kept, rows[4].kept, rows[5].kept) == ("first", "second", TEXTS[5])
+    assert rows[0].kept is None and rows[0].n_lines == 1 and rows[3].n_dropped == 1 and rows[5].n_dropped == 0
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def _plain_dedup(rows, min_chars=20, min_docs=3):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= min_chars:
+                held.setdefault(k, []).append(i)
+    gone = lambda i, k: len(held.get(k, ())) >= min_docs and i != max(held[k])
+    return {i: "\n".join(x for x in (t or "").split("\n") if not gone(i, key(x))) for i, t in rows}
+
+
+def _lines_of(seed, n=90):
+    rng = np.random.default_rng(seed)
+    pool = ["a line of some length, number %d" % k for k in range(12)]
+    return [(i, "\n".join([*rng.choice(pool, rng.integers(0, 4)), "own line of document number %d" % i])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (7, 3), (4, 99)])
+def test_line_dedup_equals_brute_force_however_it_is_batched(spark, batches, fanout):
+    rows = _lines_of(batches)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches, fanout=fanout).collect()}
+    assert got == _plain_dedup(rows)
+
+
+def test_line_dedup_rests_on_its_runs(spark, monkeypatch):
+    rows = [(1, LONG), (2, LONG), (3, LONG + "\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, batches=3).collect()} == {1: "", 2: "", 3: rows[2][1]}
+    group = lambda held: held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, held: self._push(self.runs, 0, self._store(group(held), "run")))  # a batch that meets no run
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, batches=3).collect()} == dict(rows)
+
+
+def test_a_run_is_joined_without_shuffling_or_sorting_it(spark):
+    runs = line_dedup.LineRuns(spark)
+    try:
+        runs.add(line_dedup._held(spark.createDataFrame([(5, LONG)], "id long, text string"), 20))
+        batch = line_dedup._held(spark.createDataFrame([(3, LONG)], "id long, text string"), 20).groupBy("h1", "h2").count()
+        usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = batch.join(spark.table(runs.known()[0]), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    finally:
+        runs.close()
+    right = plan[plan.index("SortMergeJoin") :].split("Scan parquet")[0].split("HashAggregate")[-1]
+    assert "LeftAnti" in plan and plan.count("Exchange") == 1 and "Sort [" not in right.split("Exchange")[-1].split("LocalTableScan")[-1]
+
+
 def test_token_records_round_trip(docs, spark):
     from tokenizers import Tokenizer
 
@@ -153,14 +246,45 @@ def test_minhash(docs, empty, k):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_groups_stream_over_batches():
-    import pyarrow as pa
+def test_count_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(6)
+    for n, m, both in ((5, 5, 3), (300, 280, 250), (9000, 700, 600), (5000, 5000, 0)):
+        x = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = x[:n], x[n - both :]
+        one, two = minhash.count_sketches(np.r_[a, b], np.array([n, m]))
+        most = minhash.shared_at_most(one, two)
+        assert both <= most <= min(n, m) and most == minhash.shared_at_most(two, one)
+
 
-    keys, nodes = [1, 2, 2, 2, 3, 4, 4, 5], [10, 11, 12, 13, 14, 15, 16, 17]
-    for size in (1, 2, 3, 8):
-        cut = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size], pa.int64()), pa.array(nodes[i : i + size], pa.int64())], names=["key", "node"]) for i in range(0, 8, size)]
-        got = {tuple(r.values()) for b in minhash._groups(iter(cut)) for r in b.to_pylist()}
-        assert got == {(2, 11, 11), (2, 12, 11), (2, 13, 11), (4, 15, 15), (4, 16, 15)}
+def _pairs_at(share, n, size, seed):
+    """Texts of single-word shingles in pairs that share ``share`` percent of their union exactly."""
+    rng = np.random.default_rng(seed)
+    both = size * share // 100
+    out = []
+    for k in range(n):
+        words = ["w%dx%dx%d" % (seed, k, j) for j in range(size)]
+        extra = (size - both) // 2
+        out += [words[: both + extra], words[:both] + words[both + extra :]]
+    return [" ".join(rng.permutation(w)) for w in out]
+
+
+def test_every_pair_at_the_similarity_links_and_none_below(spark):
+    """Pairs at 0.80 exactly and at 0.79, by their size; recall is measured."""
+    at, below = _pairs_at(80, 400, 200, 1), _pairs_at(79, 100, 200, 2)
+    texts = at + below
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in minhash.near_duplicates(docs, shingle=1).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(400))
+    assert found >= 399  # the tables miss a pair at 0.8 with probability 0.00007
+    assert all(got[i] == i for i in range(len(at), len(texts)))
+
+
+def test_a_common_key_is_no_single_task(spark):
+    """A large group of near copies, each one word from the original, is one component."""
+    words = ["w%d" % j for j in range(60)]
+    texts = [" ".join([*words, "own%d" % k]) for k in range(700)] + ["other text %d of its own kind" % k for k in range(20)]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=2).collect()}
+    assert {got[i] for i in range(700)} == {0}
 
 
 def test_repetition_equals_brute_force():

@@ -9,15 +9,18 @@ one by one.  Two sets of similarity s share a table with probability
 ``(1 - (1 - s**per_half)**halves)**2``: 0.99993 at s = 0.8 with the defaults.
 
 Candidates.  Texts with equal sets are one class first, so copies never meet in a
-table.  A table's rows are sorted by key within their partition and read as a
-stream: nothing holds a group.  Each member of a group is paired with the group's
-first member only (in one order for all tables, so that a large group yields few
-different pairs).  Each text also has an odd sketch: ``64 * ODD`` bits, each the
-parity of the number of its shingles that hash there.  The bits in which two sketches
-differ are at most the shingles in which the sets differ, so joins drop pairs that
-differ too much without losing any.  Pairs are then sifted by their whole signatures
-(a true pair falls below a share of ``SIFT`` once in some millions) and confirmed on
-the full sets.
+table.  The first member of each table key that several classes share is found by an
+aggregation (combined before its shuffle), and the rows of such keys are joined with
+it, a join that adaptive execution may split: no key, however common, is brought into
+one task.  Each member of a group is paired with the group's first member only (in one
+order for all tables, so that a large group yields few different pairs).  Each text
+also has two sketches of its shingles, dealt over cells by hash: the parities of their
+counts in ``64 * ODD`` cells, and the counts themselves in about half as many cells as
+there are shingles.  The cells whose parities differ are at most the shingles in which
+two sets differ; the sum of the smaller counts is at least the shingles that they
+share.  Joins drop the pairs that the first bound rules out, and a sift those that the
+second does: exact bounds both, so no pair that reaches the similarity is ever dropped.
+What is left is confirmed on the full sets.
 
 Nothing is lost by that economy: groups that are not yet one component are taken
 up again.  First their rows meet the group's ``LEADS`` most central members (those
@@ -50,12 +53,10 @@ from veriset.operators.components import connected_components
 from veriset.plans.scratch import Scratch
 
 HALVES, PER_HALF, PERCENT = 10, 2, 80
-#: Of all minhashes, the share that a candidate must have in common to be confirmed.
-SIFT = 0.45
 #: Pairs across components per row of a group up to which all of them are compared at once.
 FEW = 64
-#: Words of 64 bits in an odd sketch, and central members that each open group's rows meet first.
-ODD, LEADS = 16, 4
+#: Words of 64 bits in an odd sketch, least cells of a count sketch, and central members that each open group's rows meet first.
+ODD, CELLS, LEADS = 16, 128, 4
 #: Nodes whose ids may be broadcast (8 bytes each); beyond that the join is shuffled.
 BROADCAST_NODES = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +156,28 @@ def may_link(n: Column, odd: Column, n2: Column, odd2: Column, percent: int) ->
     return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((100 + percent) * differ <= (100 - percent) * (n + n2))
 
 
-SIGNED = "id long, n long, d1 long, d2 long, sig binary, odd array<long>"
+def count_sketches(items: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """For each text how many of its shingles lie in each cell, a byte each; None if a cell holds more than a byte can tell."""
+    out: list[bytes | None] = []
+    at = 0
+    for n in counts.tolist():
+        cells = max(CELLS, 1 << max(n - 1, 1).bit_length() - 1)
+        held = np.bincount((items[at : at + n] >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells)
+        out.append(held.astype(np.uint8).tobytes() if held.max() < 256 else None)
+        at += n
+    return out
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """The shingles that two texts share at most, by their count sketches; the larger one is folded to the smaller."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) != len(q):
+        p, q = (p, q) if len(p) < len(q) else (q, p)
+        q = q.reshape(-1, len(p)).sum(0, dtype=np.int64)
+    return int(np.minimum(p, q).sum(dtype=np.int64))
+
+
+SIGNED = "id long, n long, d1 long, d2 long, sig binary, odd array<long>, cells binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, n: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -172,7 +194,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, n: int, seed: int) -> Itera
             for i, s in zip(full.tolist(), minhashes(items, counts, n, seed), strict=True):
                 sig[i] = s.tobytes()
         odd = pa.ListArray.from_arrays(np.arange(0, ODD * len(batch) + 1, ODD, dtype=np.int32), odd_sketches(items, counts).reshape(-1))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary()), odd], names=["id", "n", "d1", "d2", "sig", "odd"])
+        columns = [batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig, pa.binary()), odd, pa.array(count_sketches(items, counts), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "sig", "odd", "cells"])
 
 
 def table_keys(sig: np.ndarray, halves: int, per_half: int) -> np.ndarray:
@@ -195,27 +218,6 @@ def _emit(batches: Iterator[pa.RecordBatch], halves: int, per_half: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: those whose key stands more than once, each with its group's first node."""
-    key = head = None  # of the group that the last batch ended in
-    shown = True  # whether its first row was given out
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        heads = np.where(at >= 0, nodes[np.maximum(at, 0)], head if head is not None else 0)
-        out_keys, out_nodes, out_heads = [keys[~new]], [nodes[~new]], [heads[~new]]
-        lead = new & np.r_[~new[1:], False]  # a first row that the next row joins
-        if key is not None and not new[0] and not shown:
-            out_keys.append(np.array([key])), out_nodes.append(np.array([head])), out_heads.append(np.array([head]))
-        shown = bool(~new[-1]) or False
-        out_keys.append(keys[lead]), out_nodes.append(nodes[lead]), out_heads.append(nodes[lead])
-        key, head = keys[-1], heads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_keys, out_nodes, out_heads)], names=["key", "node", "head"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     release()
     hashed = Words()
@@ -225,11 +227,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([items[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "items"])
 
 
-def _sift(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``a, b, n_a, n_b`` and both count sketches -> the pairs that may still reach the similarity."""
     for batch in batches:
-        same = [np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        n = len(batch.column(2)[0].as_py()) // 4 if len(batch) else 1
-        yield batch.select(["a", "b"]).filter(pa.array(np.array(same, float) >= least * n))
+        keep = []
+        for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            most = min(n, m) if x is None or y is None else shared_at_most(x, y)
+            keep.append((100 + percent) * most >= percent * (n + m))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -250,13 +255,16 @@ class _Confirmer:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that reach the similarity."""
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"o_{c}"), F.col("sig").alias(f"s_{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(F.col("n_a"), F.col("o_a"), F.col("n_b"), F.col("o_b"), self.percent))
-        sifted = self.scratch.cut(sized.select("a", "b", "s_a", "s_b").mapInArrow(lambda batches: _sift(batches, SIFT), "a long, b long"), "sifted")
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"o_{c}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(F.col("n_a"), F.col("o_a"), F.col("n_b"), F.col("o_b"), self.percent)).select("a", "b", "n_a", "n_b")
+        near = self.scratch.cut(near, "near")
+        told = lambda c: self.nodes.select(F.col("node").alias(c), F.col("cells").alias(f"c_{c}"))
+        k, percent = self.k, self.percent
+        met = near.join(told("a"), "a").join(told("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+        sifted = self.scratch.cut(met.mapInArrow(lambda batches: _sift(batches, percent), "a long, b long"), "sifted")
         wanted = self.scratch.cut(sifted.select(F.col("a").alias("id")).union(sifted.select("b")).distinct(), "wanted")
         if wanted.count() <= BROADCAST_NODES:
             wanted = F.broadcast(wanted)
-        k, percent = self.k, self.percent
         sets = self.scratch.cut(self.docs.join(wanted, "id", "left_semi").select("id", "body").mapInArrow(lambda batches: _sets(batches, k), "node long, items binary"), "sets")
         items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"i_{c}"))
         met = sifted.join(items("a"), "a").join(items("b"), "b").select("a", "b", "i_a", "i_b")
@@ -278,12 +286,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, h
     n_hashes = 2 * halves * per_half
     signed = scratch.cut(bodies.mapInArrow(lambda batches: _sign(batches, shingle, n_hashes, seed), SIGNED), "signed")
     usable = signed.where("n > 0 and id is not null")
-    classes = scratch.cut(usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.min("sig").alias("sig"), F.min("odd").alias("odd")), "classes")
-    nodes = classes.select("node", "n", "odd", "sig")
+    classes = scratch.cut(usable.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.min("sig").alias("sig"), F.min("odd").alias("odd"), F.min("cells").alias("cells")), "classes")
+    nodes = classes.select("node", "n", "odd", "cells")
 
-    rows = nodes.select("node", "sig").mapInArrow(lambda batches: _emit(batches, halves, per_half), "key long, node long")
-    streamed = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node")
-    met = scratch.cut(streamed.mapInArrow(lambda batches: _groups(batches), "key long, node long, head long").distinct(), "groups")
+    rows = classes.select("node", "sig").mapInArrow(lambda batches: _emit(batches, halves, per_half), "key long, node long")
+    heads = scratch.cut(rows.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "head"), "heads")
+    met = scratch.cut(rows.join(heads, "key").select("key", "node", "head"), "groups")
     confirm = _Confirmer(bodies, nodes, shingle, percent, scratch)
     tried = scratch.cut(_ordered(met, "head", "node"), "tried")
     links = confirm(tried)

@@ -27,6 +27,7 @@ table gives no rows; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -41,7 +42,7 @@ from veriset.plans.scratch import Scratch
 
 WINDOW, SENTENCE_COST, HARD_COST, HARD_STEP = 4096, 4, 32, 64
 #: Ids after which the paths are followed back; this changes no cut.
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64())])
 
 
@@ -66,20 +67,24 @@ class Cuts:
 
     def add(self, at: list[int], cost: list[float]) -> None:
         """Possible cuts in ascending order and what it costs to cut there."""
-        pos, back, least, queue, window = self.pos, self.back, self.least, self.queue, self.window
-        for p, c in zip(at, cost, strict=True):
-            while queue[0][1] < p - window:
+        queue, window, j = self.queue, self.window, len(self.pos)
+        back, least = [0] * len(at), [0.0] * len(at)
+        key, begin, i = queue[0]
+        for k, p in enumerate(at):
+            while begin < p - window:
                 queue.popleft()
-            key, _, i = queue[0]
-            value = key - p + window + c
-            j = len(pos)
-            pos.append(p)
-            back.append(i)
-            least.append(value)
+                key, begin, i = queue[0]
+            back[k] = i
+            least[k] = value = key - p + window + cost[k]
             value += p
             while queue and queue[-1][0] >= value:
                 queue.pop()
-            queue.append((value, p, j))
+            queue.append((value, p, j + k))
+            if value <= key:  # it stands alone
+                key, begin, i = queue[0]
+        self.pos += at
+        self.back += back
+        self.least += least
 
     def _chain(self, j: int) -> list[int]:
         out = []
@@ -93,12 +98,13 @@ class Cuts:
         first = len(self.pos) - 1
         while first and self.pos[first - 1] >= self.pos[-1] - self.window:
             first -= 1
-        nodes = set(range(first, len(self.pos)))
+        nodes = sorted({self.back[j] for j in range(first, len(self.pos))})
         while len(nodes) > 1:  # the latest one goes back until all are one
-            j = max(nodes)
-            nodes.remove(j)
-            nodes.add(self.back[j])
-        meet = nodes.pop()
+            j = self.back[nodes.pop()]
+            at = bisect_left(nodes, j)
+            if at == len(nodes) or nodes[at] != j:
+                nodes.insert(at, j)
+        meet = nodes[0]
         ends = [self.pos[j] for j in self._chain(meet)]
         if meet:
             self.pos, self.least = self.pos[meet:], self.least[meet:]
@@ -129,19 +135,28 @@ class Packer:
     def __init__(self, sentence_end: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> None:
         self.sentence_end, self.block, self.cuts = sentence_end, block, Cuts(window)
         self.docs: deque[list] = deque()  # id, ids as bytes, ids already placed
+        self.at: list[np.ndarray] = []  # possible cuts not yet looked at
+        self.cost: list[np.ndarray] = []
         self.placed = self.read = self.followed = self.seq = 0
 
     def add(self, doc: int | None, ids: bytes) -> Iterator[tuple]:
         self.docs.append([doc, ids, 0])
         values = np.frombuffer(ids, "<u4")
         at, cost = possible_cuts(values, self.sentence_end)
-        self.cuts.add((at + self.read).tolist(), cost.tolist())
+        self.at.append(at + self.read)
+        self.cost.append(cost)
         self.read += len(values)
         if self.read - self.followed >= self.block:
-            self.followed = self.read
+            self._look()
             yield from self._place_all(self.cuts.final())
 
+    def _look(self) -> None:
+        if self.at:
+            self.cuts.add(np.concatenate(self.at).tolist(), np.concatenate(self.cost).tolist())
+            self.at, self.cost, self.followed = [], [], self.read
+
     def end(self) -> Iterator[tuple]:
+        self._look()
         yield from self._place_all(self.cuts.close())
 
     def _place_all(self, ends: list[int]) -> Iterator[tuple]:

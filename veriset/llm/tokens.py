@@ -14,9 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Bytes that a generation of a worker's cache may take, keys, values and their places counted.  A larger
-#: cache is no faster: most parts that are not among the frequent ones never come again.
-CACHE_BYTES = 12 << 20
+#: Bytes that a generation of a worker's cache may take, keys, values and their places counted.
+CACHE_BYTES = 32 << 20
 #: What a pair of bytes objects and its place in a dictionary take beside the bytes themselves.
 ENTRY_BYTES = 170
 _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
@@ -159,7 +158,9 @@ class Encoder:
             else:
                 other.append(p)
         plainly, otherwise = (self._plain, self._word_parts) if self.kind == "word" else (self._spaced, self._byte_parts)
-        known |= zip(plain, plainly(list(plain)), strict=True)
+        fresh = dict(zip(plain, plainly(list(plain)), strict=True))
+        self.parts.put({w: fresh[w] for w in (p[:-1] for p in stopped) if w in fresh})
+        known |= fresh
         known.update(zip(other, otherwise(other), strict=True))
         return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
 
