@@ -1,9 +1,10 @@
-"""Exact similarity joins: blocks of vectors against blocks, banded Hamming, token-set Jaccard.
+"""Exact similarity joins: blocks of vectors against blocks, banded Hamming, token-set Jaccard, passages in texts.
 
 The all-pairs join is one pass whatever the number of thresholds asked of it
 later: census, grid and ablations are filters of its result.  Vectors are dealt
-by hash into blocks; block pairs are joined by number and each is one matrix
-product in a task, so a task holds two blocks however large the table is.
+by hash into blocks.  Tasks form a grid of about the root of their number a side;
+each takes a stripe of blocks from either side, so a block is sent that root of
+times, not to every other block, and a task holds one block and what streams past it.
 """
 
 from __future__ import annotations
@@ -11,83 +12,178 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from veriset.operators.shipping import prepare
+
+#: Vectors of a block, and blocks that a task holds at most.
+BLOCK, STRIPE = 1024, 16
 PAIRS = "a long, b long, cosine double, hamming int"
 
 
-def _pack(part: pd.DataFrame) -> pd.DataFrame:
-    x = np.array(part["v"].tolist(), np.float64)
-    return pd.DataFrame({"block": [part["block"].iloc[0]], "ids": [part["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+def _pack(part: pa.Table) -> pa.Table:
+    x = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    ids = part["id"].to_numpy().astype(np.int64, copy=False)
+    return pa.table({"block": part["block"].slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
 
 def _signs(x: np.ndarray) -> np.ndarray:
-    return np.packbits(x[:, :64] >= 0, axis=1)
+    """The first 64 sign bits as one number."""
+    bits = np.zeros((len(x), 64), np.uint8)
+    bits[:, : min(64, x.shape[1])] = x[:, :64] >= 0
+    return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
 
 
 def _multiply(batches: Iterator[pa.RecordBatch], least: float, most: int) -> Iterator[pa.RecordBatch]:
-    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    """Rows of a task: its left blocks first, then the right ones, each of which meets every left block not after it."""
+    left: list[tuple] = []
+    at = None
     for batch in batches:
         for r in batch.to_pylist():
-            p, q = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
-            x, y = np.frombuffer(r["x"]).reshape(len(p), -1), np.frombuffer(r["x2"]).reshape(len(q), -1)
-            cos = x @ y.T
-            ham = ones[_signs(x)[:, None, :] ^ _signs(y)[None, :, :]].sum(2, dtype=np.int32)
-            i, j = np.nonzero(((cos >= least) | (ham <= most)) & ((p[:, None] < q[None, :]) if r["block"] == r["block2"] else (p[:, None] != q[None, :])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], q[j])), pa.array(np.maximum(p[i], q[j])), pa.array(cos[i, j]), pa.array(ham[i, j])], names=["a", "b", "cosine", "hamming"])
-
-
-def similar_pairs(items: DataFrame, cos_least: float, ham_most: int = -1, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+            if (r["row"], r["col"]) != at:
+                at, left = (r["row"], r["col"]), []
+            ids = np.frombuffer(r["ids"], np.int64)
+            x = np.frombuffer(r["x"]).reshape(len(ids), -1)
+            side = (r["block"], ids, x, _signs(x))
+            if r["side"] == 0:
+                left.append(side)
+                continue
+            for number, p, own, signs in left:
+                if number > side[0]:
+                    continue
+                cos = own @ x.T
+                near = cos >= least
+                ham = np.bitwise_count(signs[:, None] ^ side[3][None, :]) if most >= 0 else None
+                if ham is not None:
+                    near |= ham <= most
+                i, j = np.nonzero(near & ((p[:, None] < ids[None, :]) if number == side[0] else (p[:, None] != ids[None, :])))
+                if len(i):
+                    bits = (ham[i, j] if ham is not None else np.bitwise_count(signs[i] ^ side[3][j])).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p[i], ids[j])), pa.array(np.maximum(p[i], ids[j])), pa.array(cos[i, j]), pa.array(bits)], names=["a", "b", "cosine", "hamming"])
+
+
+def similar_pairs(items: DataFrame, cos_least: float, ham_most: int = -1, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, grid: int | None = None) -> DataFrame:
     """All pairs ``a < b`` with ``cosine >= cos_least`` or sign ``hamming <= ham_most``: ``a, b, cosine, hamming``.
 
-    Vectors are taken as they are (unit length makes the product a cosine).
+    Vectors are taken as they are (unit length makes the product a cosine) and must be of
+    one length; null ids and vectors pair with nothing.  With g stripes a side there are
+    about g * g / 2 tasks, each holding a g-th of the vectors at most in its left stripe;
+    g grows until a stripe is ``STRIPE`` blocks.
     """
+    spark = items.sparkSession
+    prepare(spark)
     blocks = max(1, -(-items.count() // block))
+    cores = spark.sparkContext.defaultParallelism
+    g = grid or max(1, min(blocks, max(int((2 * cores) ** 0.5) + 1, -(-blocks // STRIPE))))
     dealt = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block")).where("id is not null and v is not null")
-    blobs = dealt.groupBy("block").applyInPandas(_local(_pack), "block long, ids binary, x binary")
-    numbers = items.sparkSession.range(blocks)
-    meets = numbers.select(F.col("id").alias("block")).join(numbers.select(F.col("id").alias("block2")), F.col("block") <= F.col("block2"))
-    second = blobs.toDF("block2", "ids2", "x2")
-    full = meets.join(blobs, "block").join(second, "block2").repartition(min(200_000, blocks * (blocks + 1) // 2))
-    kernel = _local(_multiply)
-    return full.mapInArrow(lambda batches: kernel(batches, cos_least, ham_most), PAIRS)
-
+    blobs = dealt.groupBy("block").applyInArrow(lambda part: _pack(part), "block long, ids binary, x binary")
+    # Stripes are block numbers modulo g; a task (row, col) has row <= col, and both orders of two blocks meet in it.
+    stripe = F.pmod("block", F.lit(g))
+    others = F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long"))
+    sent = blobs.select("block", "ids", "x", stripe.alias("own"), F.explode(others).alias("other"))
+    row, col = F.least("own", "other"), F.greatest("own", "other")
+    # A block of the row's stripe is held, one of the column's streams past; on the diagonal it is both.
+    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("own") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+    tasks = sent.select(row.alias("row"), col.alias("col"), F.explode(sides).alias("side"), "block", "ids", "x")
+    dealt_out = tasks.repartition(min(100_000, g * (g + 1) // 2), "row", "col").sortWithinPartitions("row", "col", "side", "block")
+    return dealt_out.mapInArrow(lambda batches: _multiply(batches, cos_least, ham_most), PAIRS)
+
+
+def banded_hamming(items: DataFrame, most: int, id_col: str = "id", hash_col: str = "h", bits: int = 64, bands: int | None = None) -> DataFrame:
+    """Pairs within ``most`` bits by the pigeonhole rule: of ``bands`` bands at least ``bands - most`` are equal.
+
+    Every choice of ``bands - most`` bands is a key, so more bands than ``most + 1`` make
+    longer keys and fewer chance meetings; ``bands`` is chosen such that keys have 16 bits
+    or more if up to 256 keys can do it.  Equal hashes are one class first, so a value
+    that a third of all items share is met once; classes are expanded at the end only,
+    into the pairs asked for.
+    """
+    from itertools import combinations
+    from math import comb
+
+    if bands is None:
+        able = [b for b in range(most + 1, bits + 1) if comb(b, most) <= 256]
+        bands = next((b for b in able if (b - most) * (bits // b) >= 16), able[-1])
+    edges = [round(i * bits / bands) for i in range(bands + 1)]
+    part = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if edges[k + 1] - edges[k] < 63 else -1))
+    rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).where("id is not null and h is not null")
+    values = rows.select("h").distinct()
+    keys = F.array(*(F.xxhash64(F.lit(n), *(part(F.col("h"), k) for k in chosen)) for n, chosen in enumerate(combinations(range(bands), bands - most))))
+    keyed = values.select("h", F.explode(keys).alias("key"))
+    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))
+    near = keyed.join(keyed.toDF("h2", "key"), "key").where((F.col("h") < F.col("h2")) & (distance <= most)).select("h", "h2").distinct()
+    other = rows.toDF("id2", "h2")
+    across = near.join(rows, "h").join(other, "h2").select("id", "id2", distance.alias("hamming"))
+    same = rows.join(other, F.col("h") == F.col("h2")).where("id < id2").select("id", "id2", F.lit(0).alias("hamming"))
+    both = across.unionByName(same.withColumn("hamming", F.col("hamming").cast("int")))
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "hamming")
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+
+
+def jaccard_classes(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: each document's class of equal token sets, and pairs of classes with Jaccard >= ``least``.
+
+    Tokens are 64-bit hashes from the start, ordered by how many classes hold them.  The
+    rarest ones of each set make its prefix; sets that share a token there, are of fitting
+    size and can still reach the overlap behind it are confirmed on the whole sets, which
+    only classes in such a pair send.
+    """
+    hashed = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(_tokens(F.col(text_col)), lambda w: F.xxhash64(w)))).alias("w"))
+    keyed = hashed.where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.xxhash64(F.lit(1), "w").alias("h1"), F.xxhash64(F.lit(2), "w").alias("h2"), "w")
+    first = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"))
+    members = keyed.select("id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("id", "class_id")
+    sets = keyed.join(members.where("id = class_id").select("id"), "id", "left_semi").select(F.col("id").alias("c"), "n", "w")
+    tokens = sets.select("c", "n", F.explode("w").alias("t"))
+    ranked = tokens.join(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t")
+    # Only the rarest tokens of a set are collected: as many as its prefix has.
+    short = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    ordered = ranked.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    prefix = ordered.select("c", "n", F.posexplode(F.slice("o", F.lit(1), short)).alias("place", "x")).select("c", "n", "place", F.col("x.t").alias("t"))
+    other = prefix.toDF("c2", "n2", "place2", "t")
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n2")) - 1e-9)
+    reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1)  # from the first shared token on
+    met = prefix.join(other, "t").where((F.col("c") < F.col("c2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9))
+    met = met.groupBy("c", "c2", "n", "n2").agg(F.max(reach).alias("reach")).where(F.col("reach") >= need).select("c", "c2")
+    full = met.join(sets.select("c", "w"), "c").join(sets.toDF("c2", "n2", "w2").select("c2", "w2"), "c2")
+    both = F.size(F.array_intersect("w", "w2"))
+    links = full.select("c", "c2", (both / (F.size("w") + F.size("w2") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    return members, links
 
-def _local(f):
-    """The function by value, so that executors need not have this package."""
-    import types
 
-    space = {"np": np, "pa": pa, "pd": pd, "_signs": types.FunctionType(_signs.__code__, {"np": np}, "_signs")}
-    return types.FunctionType(f.__code__, space, f.__name__, f.__defaults__)
+def jaccard_pairs(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All pairs of documents with Jaccard >= ``least``: the classes' links expanded.  For large groups of copies use ``jaccard_classes``."""
+    members, links = jaccard_classes(docs, least, id_col, text_col)
+    one, two = members.toDF("a", "c"), members.toDF("b", "c2")
+    across = links.join(one, "c").join(two, "c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    same = one.join(two, F.col("c") == F.col("c2")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(same)
 
 
-def banded_hamming(items: DataFrame, most: int, id_col: str = "id", hash_col: str = "h", bits: int = 64) -> DataFrame:
-    """Pairs within ``most`` bits by the pigeonhole rule: of most + 1 bands one is equal.
+def contained_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str = "item_id", passage_col: str = "text", gram: int = 6) -> DataFrame:
+    """``item_id, doc_id`` of the passages that stand in a text, sign by sign.
 
-    An equi-join on (band, value), then a check of all bits: right for few bits
-    apart; for many the bands are too narrow and ``similar_pairs`` is the way.
+    A passage's words but the first and the last, which a text may go on with, stand in
+    every text that holds it.  Of the runs of ``gram`` such words the one whose hash is
+    least is the passage's key; runs of a text that are a key propose the passage, and the
+    text is then searched.  Passages too short for a key are searched for in every text.
     """
-    edges = [round(i * bits / (most + 1)) for i in range(most + 2)]
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(hash_col), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("value")) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-    rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(bands).alias("k")).select("id", "h", "k.band", "k.value")
-    other = rows.toDF("id2", "h2", "band", "value")
-    met = rows.join(other, ["band", "value"]).where("id < id2")
-    return met.withColumn("hamming", F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))).where(F.col("hamming") <= most).select(F.col("id").alias("a"), F.col("id2").alias("b"), "hamming").distinct()
-
-
-def jaccard_pairs(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of token sets with Jaccard >= ``least``: rarest-first prefixes, a length filter, then the full sets."""
-    sets = docs.select(F.col(id_col).alias("id"), F.array_distinct(F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
-    tokens = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    ranked = tokens.join(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t")
-    ordered = ranked.groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("t"))
-    other = prefix.toDF("id2", "n2", "t")
-    met = prefix.join(other, "t").where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9)).select("id", "id2").distinct()
-    full = met.join(sets, "id").join(sets.toDF("id2", "w2"), "id2")
-    both = F.size(F.array_intersect("w", "w2"))
-    return full.select(F.col("id").alias("a"), F.col("id2").alias("b"), (both / (F.size("w") + F.size("w2") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    items = passages.select(F.col(key_col).alias("item"), F.col(passage_col).alias("passage")).where("passage is not null")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).where("body is not null")
+
+    from pyspark.ml.feature import NGram
+
+    runs = NGram(n=gram, inputCol="words", outputCol="grams").transform
+    words = F.split("passage", r"\s+")
+    inner = items.select("item", "passage", F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)).alias("words"))
+    keyed = runs(inner).select("item", "passage", F.array_min(F.transform("grams", lambda g: F.xxhash64(g))).alias("key"))
+    long_, short = keyed.where("key is not null"), keyed.where("key is null").select("item", "passage")
+    told = runs(texts.select("doc", F.split("body", r"\s+").alias("words"))).select("doc", F.explode("grams").alias("g")).select("doc", F.xxhash64("g").alias("key"))
+    candidates = told.join(long_.select("key", "item"), "key").select("doc", "item").distinct()
+    met = candidates.join(texts, "doc").join(long_.select("item", "passage"), "item").where(F.col("body").contains(F.col("passage"))).select("item", "doc")
+    few = texts.join(short, F.col("body").contains(F.col("passage"))).select("item", "doc")
+    return met.unionByName(few).distinct().toDF(key_col, id_col)
