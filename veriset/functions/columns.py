@@ -97,3 +97,51 @@ def hash_draw(replicate: Column, ordinal: Column, n: Column) -> Column:
 def six_digits(x: Column) -> Column:
     """``%.6f``, empty for null."""
     return F.coalesce(F.format_string("%.6f", x), F.lit(""))
+
+
+def plain_id(name: Column) -> Column:
+    """The other identity in use: the name up to its last dot, case and separators as they are."""
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def label_of_index(index: Column) -> Column:
+    """Class indices count from 0, labels from 1 (0 is the background)."""
+    return index + 1
+
+
+def points(share: Column) -> Column:
+    """A share as points of a hundred."""
+    return share * 100
+
+
+def excludes_zero(low: Column, high: Column) -> Column:
+    return (low > 0) | (high < 0)
+
+
+def hex_draw(digest: Column) -> Column:
+    """The first 32 bits of a hex digest as a number."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def lookup(table: dict, key: Column, default: object = None) -> Column:
+    """The value of a small literal table, ``default`` where it has none."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    found = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def entry_paths(key: Column, image_root: str, mask_root: str, image_suffix: str = ".jpg", mask_suffix: str = ".png") -> tuple[Column, Column]:
+    """Image and mask path of a list entry ``split/name``; an entry of another form raises."""
+    clean = F.replace(F.trim(key), F.lit("\\"), F.lit("/"))
+    good = clean.contains("/") & clean.endswith(image_suffix)
+    entry = F.when(good, clean).otherwise(F.raise_error(F.concat(F.lit("not a list entry: "), key)).cast("string"))
+    split = F.split_part(entry, F.lit("/"), F.lit(1))
+    name = F.substr(entry, F.length(split) + 2)  # all behind the first slash
+    stem = F.left(name, F.length(name) - len(image_suffix))
+    return F.concat_ws("/", F.lit(image_root), split, name), F.concat_ws("/", F.lit(mask_root), split, F.concat(stem, F.lit(mask_suffix)))
+
+
+def projected_hours(runs: Column, iterations: Column, seconds: Column, reserve: float = 1.2) -> tuple[Column, Column]:
+    """Hours that runs take, and the same with a reserve."""
+    raw = runs * iterations * seconds / 3600
+    return raw, raw * reserve

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriset.operators.shipping import prepare
+
 
 def _touched(comps: DataFrame) -> DataFrame:
     return comps.where("split = 'test'").select("component").distinct()
@@ -41,22 +43,24 @@ def size_control(comps: DataFrame) -> DataFrame:
     room = levels.withColumn("before", before).join(quota.groupBy("split").agg(F.sum("k").alias("k")), "split").select("split", "deficit", "n", (F.col("k") - F.col("before")).alias("room")).where("room > 0")
     whole = ranked.join(room.where("n <= room"), ["split", "deficit"], "left_semi").select("id", "label", "split")
     last = ranked.join(room.where("n > room"), ["split", "deficit"])
-    lot = F.row_number().over(Window.partitionBy("split").orderBy(F.xxhash64("split", "deficit", "label"), "label"))
+    lot = F.row_number().over(Window.partitionBy("split").orderBy(F.md5(F.concat_ws(":", "split", F.col("deficit").cast("string"), F.col("label").cast("string"))), "label"))
     return whole.unionByName(last.withColumn("lot", lot).where("lot <= room").select("id", "label", "split"))
 
 
 SHARES = {"train": 0.7, "val": 0.1, "test": 0.2}
 
 
-def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.DataFrame:
+def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None, trace: list | None = None) -> pd.DataFrame:
     """Groups (``component, size, classes``) to splits: large and rare first, each where the balance suffers least.
 
-    The balance is the sum over classes of the distance of each split's share from its
-    target, plus that of all items.  Then classes of three or more groups that miss a
-    split get one group moved there.  At last the best swap of two groups of different
+    The balance is the mean over classes of the distance of each split's share from its
+    target, plus that of all items.  Then, as long as a class of three or more groups
+    misses a split, the first such class gets the group whose move costs least, unless
+    that would take a class's last group from another split.  At last the best swap of two groups of different
     splits is made, as long as one lowers the balance by more than 1e-12 and leaves no such
     class without a split; equal ones in the order of their components.  Groups of one
-    size and the same classes are alike, so only kinds of groups are compared.
+    size and the same classes are alike, so only kinds of groups are compared.  ``trace``
+    gets a row ``stage, component, other, to, balance`` for every step.
     """
     from bisect import insort
 
@@ -88,9 +92,17 @@ def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.D
             held[s][c] += sign * n
             counts[c][s] += sign
 
+    now = sum(shares.values()) * (1 + bool(frequency))  # nothing is placed yet
+
+    def note(stage: str, g: int, other: int | None, to: str) -> None:
+        if trace is not None:
+            trace.append((stage, groups["component"].iat[g], None if other is None else groups["component"].iat[other], to, now))
+
     for g in order:
         place[g] = min(names, key=lambda s: (round(cost(g, s, 1), 12), names.index(s)))
+        now += cost(g, place[g], 1)
         put(g, place[g], 1)
+        note("greedy", g, None, place[g])
 
     def may_leave(g: int) -> bool:
         return all(counts[c][place[g]] > 1 or frequency[c] < 3 for c in groups["classes"].iat[g])
@@ -100,12 +112,24 @@ def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.D
         place[g] = s
         put(g, s, 1)
 
-    for c in sorted(frequency):
-        for s in names:
-            if frequency[c] >= 3 and not counts[c][s]:
-                able = [g for g in order if c in groups["classes"].iat[g] and place[g] != s and may_leave(g)]
-                if able:
-                    move(min(able, key=lambda g: (round(cost(g, place[g], -1) + cost(g, s, 1), 12), g)), s)
+    def moved(g: int, s: str) -> float:
+        """Change of the balance if group g moves to split s."""
+        old = place[g]
+        gain = cost(g, old, -1)
+        put(g, old, -1)
+        gain += cost(g, s, 1)
+        put(g, old, 1)
+        return gain
+
+    for _ in range(3 * len(order)):
+        lacks = next(((c, s) for c in sorted(frequency) if frequency[c] >= 3 for s in names if not counts[c][s]), None)
+        able = [] if lacks is None else [g for g in order if lacks[0] in groups["classes"].iat[g] and place[g] != lacks[1] and may_leave(g)]
+        if not able:
+            break
+        g = min(able, key=lambda g: (round(moved(g, lacks[1]), 12), groups["component"].iat[g]))
+        now += moved(g, lacks[1])
+        move(g, lacks[1])
+        note("coverage", g, None, lacks[1])
     kinds: dict[tuple, int] = {}
     kind = [kinds.setdefault((int(n), tuple(sorted(set(cs)))), len(kinds)) for n, cs in zip(groups["size"], groups["classes"], strict=True)]
     weight = np.array([n for n, _ in kinds], float)
@@ -180,24 +204,67 @@ def assign(groups: pd.DataFrame, shares: dict[str, float] | None = None) -> pd.D
             members[kind[x], place[x]].remove((key[x], x))
             insort(members.setdefault((kind[x], other), []), (key[x], x))
         swap(g, h)
+        now = balance()
+        note("swap", g, h, place[g])
     return pd.DataFrame({"component": groups["component"].to_numpy(), "new_split": [place[g] for g in range(len(groups))]})
 
 
+def _groups(comps: DataFrame) -> DataFrame:
+    return comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_set("label")).alias("classes"))
+
+
 def resplit(comps: DataFrame) -> DataFrame:
     """``id, component, split, new_split``: every component in one split.
 
     The sequential search needs all groups of one benchmark in a single task; the
     table of groups (not of items) is what must fit there.
     """
-    groups = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_set("label")).alias("classes"))
+    prepare(comps.sparkSession)
+    placed = _groups(comps).coalesce(1).mapInPandas(_solve, "component long, new_split string")
+    return comps.join(placed, "component").select("id", "component", "split", "new_split")
 
-    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [p for p in parts if len(p)]
-        if frames:
-            yield kernel(pd.concat(frames, ignore_index=True))
 
-    import types
+def _solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [p for p in parts if len(p)]
+    if frames:
+        yield assign(pd.concat(frames, ignore_index=True))
 
-    kernel = types.FunctionType(assign.__code__, {"pd": pd, "SHARES": SHARES, "__builtins__": __builtins__}, "assign", assign.__defaults__)
-    placed = groups.coalesce(1).mapInPandas(solve, "component long, new_split string")
-    return comps.join(placed, "component").select("id", "component", "split", "new_split")
+
+def _steps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [p for p in parts if len(p)]
+    if frames:
+        trace: list = []
+        assign(pd.concat(frames, ignore_index=True), trace=trace)
+        out = pd.DataFrame(trace, columns=["stage", "component", "other", "to", "balance"]).astype({"other": "Int64"})
+        out.insert(0, "step", range(len(out)))
+        yield out
+
+
+def resplit_trace(comps: DataFrame) -> DataFrame:
+    """``step, stage, component, other, to, balance``: every step of the search and the balance after it."""
+    prepare(comps.sparkSession)
+    return _groups(comps).coalesce(1).mapInPandas(_steps, "step long, stage string, component long, other long, to string, balance double")
+
+
+def balance(comps: DataFrame, split: str = "split", shares: dict[str, float] | None = None) -> DataFrame:
+    """One row ``size_term, class_term, balance``: distances of the splits' shares from their targets, of all items and on average over classes."""
+    shares = shares or SHARES
+    names = list(shares)
+    away = lambda n: sum((F.abs(F.sum((F.col(split) == s).cast("int")) / n - shares[s]) for s in names[1:]), F.abs(F.sum((F.col(split) == names[0]).cast("int")) / n - shares[names[0]]))
+    size = comps.agg(away(F.count(F.lit(1))).alias("size_term"))
+    # An item counts for every class of its component, as its group moves as a whole.
+    held = comps.select("component", "label").distinct().withColumnRenamed("label", "class_id")
+    by_class = comps.join(held, "component").groupBy("class_id").agg(away(F.count(F.lit(1))).alias("away"))
+    terms = size.join(by_class.agg(F.avg("away").alias("class_term")))  # one row each
+    return terms.select(F.round("size_term", 6).alias("size_term"), F.round("class_term", 6).alias("class_term"), F.round(F.col("size_term") + F.col("class_term"), 6).alias("balance"))
+
+
+def uncovered(comps: DataFrame, split: str = "split", names: tuple[str, ...] = tuple(SHARES), class_col: str = "label", least: int = 3) -> DataFrame:
+    """Classes of at least ``least`` components that miss a split: ``class_id, n_groups, splits_present``."""
+    found = comps.groupBy(F.col(class_col).alias("class_id")).agg(F.count_distinct("component").alias("n_groups"), F.sort_array(F.collect_set(split)).alias("present"))
+    return found.where((F.col("n_groups") >= least) & (F.size("present") < len(names))).select("class_id", "n_groups", F.array_join("present", ",").alias("splits_present"))
+
+
+def resplit_summary(comps: DataFrame) -> DataFrame:
+    """Per split of the corrected benchmark its items and components."""
+    return resplit(comps).groupBy("new_split").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("component").alias("n_groups"))

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veriset.functions.columns import hash_draw, interval, ratio, two_sided_p
+from veriset.operators.shipping import prepare
 
 
 def weights(items: DataFrame, replicates: int) -> DataFrame:
@@ -105,31 +107,130 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.select("name", F.round(F.least(F.lit(1.0), F.max(F.col("left") * F.col("p")).over(by)), 6).alias("adjusted"), (F.min((F.col("p") <= alpha / F.col("left")).cast("int")).over(by) == 1).alias("rejected"))
 
 
-def bootstrap(parts: DataFrame, replicates: int = FLOOR, seed: int = 20260917, floor: int = FLOOR) -> DataFrame:
-    """Replicates of one run with PCG64: ``r, every, fore``; replicates are dealt over tasks.
+METRICS = ("miou_all", "miou_fore", "macc_all", "macc_fore", "boundary_iou", "boundary_f1")
 
-    The run's items x classes table goes to every task; a larger one than ``MOST_CELLS`` raises.
+
+def stream(seed: int, n: int, replicates: int, block: int = 200) -> Iterator[np.ndarray]:
+    """How often each of ``n`` items is drawn, replicates x items, in blocks: one PCG64 stream, one draw of n for each replicate."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    for at in range(0, replicates, block):
+        yield np.stack([np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(min(block, replicates - at))])
+
+
+def _mean(x: np.ndarray, axis: int) -> np.ndarray:
+    """Mean of what is not NaN; NaN where all is."""
+    n = (~np.isnan(x)).sum(axis)
+    return np.where(n > 0, np.nansum(x, axis) / np.maximum(n, 1), np.nan)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b > 0, a / np.where(b > 0, b, 1), np.nan)
+
+
+def six_metrics(sums: np.ndarray, edges: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums ``... x classes x (inter, uni, label)`` and ``... x (tp, fp, fn)`` -> the six metrics, and IoU by class."""
+    iou, acc = _ratio(sums[..., 0], sums[..., 1]), _ratio(sums[..., 0], sums[..., 2])
+    last = [np.full(iou.shape[:-1], np.nan)] * 2
+    if edges is not None:
+        tp, fp, fn = np.moveaxis(edges, -1, 0)
+        last = [_ratio(tp, tp + fp + fn), _ratio(2 * tp, 2 * tp + fp + fn)]
+    axis = iou.ndim - 1
+    return np.stack([_mean(iou, axis), _mean(iou[..., 1:], axis), _mean(acc, axis), _mean(acc[..., 1:], axis), *last], axis), iou
+
+
+def _bounds(x: np.ndarray, level: float) -> tuple[float | None, float | None]:
+    x = x[~np.isnan(x)]
+    if not len(x):
+        return None, None
+    low, high = np.percentile(x, [50 * (1 - level), 50 * (1 + level)])
+    return float(low), float(high)
+
+
+def metric_intervals(parts: DataFrame, by: tuple[str, ...] = ("run",), edges: DataFrame | None = None, replicates: int = FLOOR, seed: int = 20260917, primary: int | None = None, level: float = 0.95, classes: int = 116, floor: int = FLOOR) -> DataFrame:
+    """``by, n, metric, class_id, point, low, high``: the six metrics (class null) and IoU by class, with percentile intervals.
+
+    Every group (a run, or a run's stratum) is resampled on its own, from the start of the
+    stream: of ``seed``, or of ``seed + n`` for a run whose number of items is not
+    ``primary``.  A group is one task: its items x classes table must fit there, as one
+    benchmark run does; groups run side by side.  ``edges`` has ``by, item, tp, fp, fn``.
     """
     if replicates < floor:
         raise ValueError(f"at least {floor} replicates")
-    n_items, n_classes = parts.select(F.count_distinct("item"), F.max("class_id") + 1).first()
-    if n_items * n_classes > MOST_CELLS:
-        raise ValueError("contributions too large to broadcast; use deltas()")
-    rows = parts.select((F.dense_rank().over(Window.orderBy("item")) - 1).alias("i"), "class_id", "inter", "uni").toPandas()
-    inter, uni = np.zeros((n_items, n_classes)), np.zeros((n_items, n_classes))
-    inter[rows["i"], rows["class_id"]], uni[rows["i"], rows["class_id"]] = rows["inter"], rows["uni"]
+    prepare(parts.sparkSession)
+    zero = [F.lit(0.0).alias(c) for c in ("tp", "fp", "fn")]
+    rows = parts.select(*by, "item", F.col("class_id").cast("int").alias("class_id"), *(F.col(c).cast("double").alias(c) for c in ("inter", "uni", "n_label")), *zero)
+    if edges is not None:
+        none = [F.lit(0.0).alias(c) for c in ("inter", "uni", "n_label")]
+        rows = rows.unionByName(edges.select(*by, "item", F.lit(-1).alias("class_id"), *none, *(F.col(c).cast("double").alias(c) for c in ("tp", "fp", "fn"))))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, metric string, class_id int, point double, low double, high double"])
+    types = [rows.schema[c].dataType for c in by]
+
+    def resample(group: pa.Table) -> pa.Table:
+        return _resampled(group, by, [to_arrow_type(t) for t in types], edges is not None, replicates, seed, primary, level, classes)
+
+    return rows.groupBy(*by).applyInArrow(resample, schema)
+
+
+def _resampled(group: pa.Table, by: tuple[str, ...], types: list, with_edges: bool, replicates: int, seed: int, primary: int | None, level: float, classes: int) -> pa.Table:
+    items = group["item"].combine_chunks().dictionary_encode()
+    order = np.argsort(np.argsort(items.dictionary.to_numpy(zero_copy_only=False)))  # items ascending
+    place = order[items.indices.to_numpy()]
+    n, c = len(items.dictionary), group["class_id"].to_numpy()
+    cell = c >= 0
+    table, edge = np.zeros((n, classes, 3)), np.zeros((n, 3))
+    for k, name in enumerate(("inter", "uni", "n_label")):
+        np.add.at(table[..., k], (place[cell], c[cell]), group[name].to_numpy()[cell])
+    for k, name in enumerate(("tp", "fp", "fn")):
+        np.add.at(edge[:, k], place[~cell], group[name].to_numpy()[~cell])
+    held = np.flatnonzero(table.any((0, 2)))  # absent classes are null in every replicate
+    first = 0 if len(held) and held[0] == 0 else None
+    used = np.r_[[0] if first is None else [], held].astype(int)
+    flat = table[:, used].reshape(n, -1)
+    point, iou = six_metrics(flat.sum(0).reshape(len(used), 3), edge.sum(0) if with_edges else None)
+    drawn, drawn_iou = [], []
+    start = seed if primary is None or n == primary else seed + n
+    for counts in stream(start, n, replicates):
+        metrics, by_class = six_metrics((counts @ flat).reshape(len(counts), len(used), 3), counts @ edge if with_edges else None)
+        drawn.append(metrics)
+        drawn_iou.append(by_class.astype(np.float32))
+    drawn, drawn_iou = np.concatenate(drawn), np.concatenate(drawn_iou)
+    number = lambda x: None if np.isnan(x) else float(x)
+    out = [(m, None, number(point[k]), *_bounds(drawn[:, k], level)) for k, m in enumerate(METRICS)]
+    where = {int(x): k for k, x in enumerate(used)}
+    for x in range(classes):
+        k = where.get(x)
+        out.append(("iou", x, None, None, None) if k is None else ("iou", x, number(iou[k]), *_bounds(drawn_iou[:, k], level)))
+    names, class_ids, points, lows, highs = zip(*out, strict=True)
+    key = {b: pa.array([group[b][0].as_py()] * len(out), t) for b, t in zip(by, types, strict=True)}
+    return pa.table({**key, "n": pa.array([n] * len(out), pa.int64()), "metric": pa.array(names), "class_id": pa.array(class_ids, pa.int32()), **{c: pa.array(v, pa.float64()) for c, v in zip(("point", "low", "high"), (points, lows, highs), strict=True)}})
+
+
+EFFECTS = ("leak", "size", "attr", "bg")
+
+
+def points_by_seed(parts: DataFrame) -> DataFrame:
+    """``seed, leak, size, attr, bg`` of the whole cohort: what the arms differ by, seed by seed.  The arms must share seeds and items."""
+    from veriset.operators.runs import require_arms
+
+    require_arms(parts)
+    sums = parts.groupBy("arm", "seed", "class_id").agg(F.sum("inter").alias("i"), F.sum("uni").alias("u"))
+    iou = ratio(F.col("i"), F.col("u"))
+    runs = sums.groupBy("arm", "seed").agg(F.avg(iou).alias("every"), F.avg(F.when(F.col("class_id") > 0, iou)).alias("fore"))
+    of = lambda arm, c="fore": F.max(F.when(F.col("arm") == arm, F.col(c)))
+    wide = runs.groupBy("seed").agg((of("default") - of("sanitized")).alias("leak"), (of("default") - of("sizectrl")).alias("size"), (of("default", "every") - of("default")).alias("bg"))
+    return wide.withColumn("attr", F.col("leak") - F.col("size")).select("seed", *EFFECTS)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for r in batch.column(0).to_pylist():
-                k = np.bincount(np.random.default_rng([seed, r]).integers(0, n_items, n_items), minlength=n_items)
-                i, u = k @ inter, k @ uni
-                iou = np.where(u > 0, i / np.maximum(u, 1), np.nan)
-                out.append((r, float(np.nanmean(iou)), float(np.nanmean(iou[1:]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["r", "every", "fore"])
-
-    return parts.sparkSession.range(replicates).mapInArrow(draw, "r long, every double, fore double")
+def effects(parts: DataFrame, replicates: int = FLOOR, alpha: float = 0.05, floor: int = FLOOR) -> DataFrame:
+    """``name, point, low, high, excludes_zero, p, between_seed_sd, replicates`` of every effect.
+
+    The point is the mean over seeds on the whole cohort, the deviation theirs (null for one seed).
+    """
+    wide = deltas(parts, replicates, floor)
+    spread = lambda df: df.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in EFFECTS))).alias("x")).select("x.*")
+    drawn = spread(wide).groupBy("name").agg(interval(F.col("v"), alpha).alias("q"), two_sided_p(F.col("v")).alias("p"))
+    known = spread(points_by_seed(parts)).groupBy("name").agg(F.avg("v").alias("point"), F.stddev_samp("v").alias("sd"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    r6 = lambda x, name: F.round(x, 6).alias(name)
+    return known.join(drawn, "name").select("name", r6(F.col("point"), "point"), r6(low, "low"), r6(high, "high"), ((low > 0) | (high < 0)).alias("excludes_zero"), r6(F.col("p"), "p"), r6(F.col("sd"), "between_seed_sd"), F.lit(replicates).alias("replicates"))

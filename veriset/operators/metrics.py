@@ -12,10 +12,12 @@ IGNORE = 255
 
 def confusion(rows: DataFrame, keys: tuple[str, ...] = ("item",), classes: int = 116) -> DataFrame:
     """Rows ``keys, label, pred`` -> ``keys, class_id, inter, uni, n_pred, n_label``; ignored labels drop from both sides."""
-    valid = rows.where(F.col("label") != IGNORE)
-    both = F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("l"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("c"), F.lit(0).alias("l"), F.lit(1).alias("p")))
-    sides = valid.select(*keys, (F.col("label") == F.col("pred")).cast("int").alias("same"), F.explode(both).alias("s")).where((F.col("s.c") >= 0) & (F.col("s.c") < classes))
-    out = sides.groupBy(*keys, F.col("s.c").alias("class_id")).agg(F.sum(F.col("same") * F.col("s.l")).alias("inter"), F.sum("s.p").alias("n_pred"), F.sum("s.l").alias("n_label"))
+    counted = rows.where(F.col("label") != IGNORE).groupBy(*keys, "label", "pred").agg(F.count(F.lit(1)).alias("n"))  # cells, not rows, are spread
+    same = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    both = F.array(F.struct(F.col("label").alias("c"), F.col("n").alias("l"), zero.alias("p"), same.alias("s")), F.struct(F.col("pred").alias("c"), zero.alias("l"), F.col("n").alias("p"), zero.alias("s")))
+    sides = counted.select(*keys, F.explode(both).alias("s")).where((F.col("s.c") >= 0) & (F.col("s.c") < classes))
+    out = sides.groupBy(*keys, F.col("s.c").alias("class_id")).agg(F.sum("s.s").alias("inter"), F.sum("s.p").alias("n_pred"), F.sum("s.l").alias("n_label"))
     return out.select(*keys, "class_id", "inter", (F.col("n_pred") + F.col("n_label") - F.col("inter")).alias("uni"), "n_pred", "n_label")
 
 
@@ -30,12 +32,17 @@ def scores(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return sums.groupBy(*keys).agg(pick(iou, "miou_all"), pick(F.when(fore, iou), "miou_fore"), pick(acc, "macc_all"), pick(F.when(fore, acc), "macc_fore"))
 
 
-def boundary(tp: DataFrame) -> DataFrame:
-    """``tp, fp, fn`` rows -> boundary IoU and F1 of their sums, null where undefined."""
-    s = tp.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    return s.select(ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("boundary_iou"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("boundary_f1"))
+def boundary(tp: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, tp, fp, fn`` rows -> boundary IoU and F1 of their sums, null where undefined."""
+    s = tp.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return s.select(*keys, ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("boundary_iou"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("boundary_f1"))
 
 
 def relabel(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Non-zero labels of the listed items become the item's target (a small table of items)."""
     return rows.join(targets.select("item", "target"), "item", "left").withColumn("label", F.when((F.col("label") > 0) & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("label"))).drop("target")
+
+
+def label_range(rows: DataFrame, key: str = "item") -> DataFrame:
+    """``key, low, high, n_values`` of the labels of each item."""
+    return rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_distinct("label").alias("n_values"))
