@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriset.functions.columns import canonical_id, hash_draw, pack_signs, split_name
-from veriset.operators import census, cohorts, inference, metrics
-from veriset.operators.similarity import banded_hamming, jaccard_pairs
+from veriset.operators import audit, census, cohorts, inference, metrics, runs, strata
+from veriset.operators.similarity import banded_hamming, contained_passages, jaccard_classes, jaccard_pairs
 from veriset.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +86,17 @@ def _jaccard(s, d):
 
 
 shared("doc_exact_duplicates", "SELECT sha2(text, 256) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1".replace("sha2(text, 256)", "sha256(text)"), spark="SELECT sha2(text, 256) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
-shared("benchmark_containment", "SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+
+
+@query("benchmark_containment", "SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def _containment(s, d):
+    return contained_passages(V.table(s, d, "documents"), V.table(s, d, "benchmark"))
+
+
+@query("doc_jaccard_classes", r"""WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents),
+ s AS (SELECT doc_id, string_agg(w, ' ' ORDER BY w) AS ws FROM t WHERE w <> '' GROUP BY 1) SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY ws) AS class_id FROM s""")
+def _jaccard_members(s, d):
+    return jaccard_classes(V.table(s, d, "documents"), 0.9)[0]
 
 
 @query("sign_hash", "SELECT vec_id, list_reduce(list_transform(range(1, 33), lambda i: (CASE WHEN embedding[i] >= 0 THEN 1 ELSE 0 END)::BIGINT), lambda s, x: s * 2 + x) AS hi FROM embeddings")
@@ -98,7 +108,7 @@ def _signs(s, d):
 shared("components_labels", "SELECT id, component FROM comps", "comps")
 shared("component_sizes", "SELECT n AS size, count(*) AS n_components FROM (SELECT component, count(*) AS n FROM comps GROUP BY component) x GROUP BY n", "comps")
 shared("component_members", "SELECT component, array_to_string(list_sort(list(CAST(id AS VARCHAR))), ',') AS members FROM comps GROUP BY component HAVING count(*) > 1", "comps", spark="SELECT component, array_join(sort_array(collect_list(CAST(id AS STRING))), ',') AS members FROM comps GROUP BY component HAVING count(*) > 1")
-shared("group_classes", "WITH g AS (SELECT component, count(*) AS size, count(DISTINCT label) AS n_classes, min(id) AS first_id FROM comps WHERE id % 20 <> 13 GROUP BY component) SELECT row_number() OVER (ORDER BY CASE WHEN size > 1 THEN 0 ELSE 1 END, first_id) AS gid, component, size, n_classes FROM g", "comps", spark="WITH g AS (SELECT component, count(*) AS size, count(DISTINCT label) AS n_classes, min(id) AS first_id FROM comps GROUP BY component) SELECT row_number() OVER (ORDER BY CASE WHEN size > 1 THEN 0 ELSE 1 END, first_id) AS gid, component, size, n_classes FROM g")  # the SQL still leaves out one id in twenty
+shared("group_classes", "WITH g AS (SELECT component, count(*) AS size, count(DISTINCT label) AS n_classes, min(id) AS first_id FROM comps GROUP BY component) SELECT row_number() OVER (ORDER BY CASE WHEN size > 1 THEN 0 ELSE 1 END, first_id) AS gid, component, size, n_classes FROM g", "comps")
 
 # Cohorts ------------------------------------------------------------------
 TOUCHED = "touched AS (SELECT DISTINCT component FROM comps WHERE split = 'test')"
@@ -110,7 +120,11 @@ def _sanitized(s, d):
     return cohorts.sanitized(V.comps(s, d))
 
 
-@query("sizectrl_removals", f"WITH {REMOVED}, quota AS (SELECT split, label, count(*) AS k FROM removed GROUP BY 1, 2), pool AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY id) AS rn FROM comps WHERE split <> 'test' AND component NOT IN (SELECT component FROM touched)) SELECT id, label, split FROM pool JOIN quota USING (split, label) WHERE rn <= k", "comps")
+@query("sizectrl_removals", f"""WITH {REMOVED}, quota AS (SELECT split, label, count(*) AS k FROM removed GROUP BY 1, 2), whole AS (SELECT split, count(*) AS k FROM removed GROUP BY 1),
+ pool AS (SELECT id, label, split, row_number() OVER (PARTITION BY split, label ORDER BY id) AS rn FROM comps WHERE split <> 'test' AND component NOT IN (SELECT component FROM touched)),
+ lacking AS (SELECT pool.*, coalesce(quota.k, 0) - rn + 1 AS deficit FROM pool LEFT JOIN quota USING (split, label)),
+ picked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY deficit DESC, md5(concat_ws(':', split, CAST(deficit AS VARCHAR), CAST(label AS VARCHAR))), label) AS nth FROM lacking)
+ SELECT id, label, split FROM picked JOIN whole USING (split) WHERE nth <= k""", "comps")
 def _sizectrl(s, d):
     return cohorts.size_control(V.comps(s, d))
 
@@ -152,9 +166,26 @@ def _dual(s, d):
 shared("per_class_iou", f"WITH {SUMS} SELECT run, class_id, round(CASE WHEN u > 0 THEN i / u END, 6) AS iou FROM sums", "parts")
 shared("relative_effect", f"WITH {SUMS}, m AS (SELECT run, arm, seed, {SCORE} FROM sums GROUP BY run, arm, seed) SELECT a.seed, round((a.fore - b.fore) / a.fore, 6) AS effect FROM m a JOIN m b ON a.seed = b.seed AND a.arm = 'default' AND b.arm = 'sanitized'", "parts")
 shared("per_seed_sd", f"WITH {SUMS}, m AS (SELECT run, arm, seed, {SCORE} FROM sums GROUP BY run, arm, seed) SELECT arm, round(avg(fore), 6) AS mean, round(stddev_samp(fore), 6) AS sd FROM m GROUP BY arm", "parts")
-shared("per_class_delta", f"WITH {SUMS} SELECT a.class_id, round(avg(a.i / a.u - b.i / b.u), 6) AS delta FROM sums a JOIN sums b ON a.class_id = b.class_id AND a.seed = b.seed AND a.arm = 'default' AND b.arm = 'sanitized' WHERE a.u > 0 AND b.u > 0 GROUP BY a.class_id", "parts")
+
+
+@query("per_class_delta", f"""WITH {SUMS}, {CROSS}, hit AS (SELECT DISTINCT test FROM crossing WHERE {HARD}), leaked AS (SELECT DISTINCT label AS class_id FROM items WHERE id IN (SELECT test FROM hit)),
+ d AS (SELECT a.class_id, a.seed, a.i / a.u - b.i / b.u AS d FROM sums a JOIN sums b ON a.class_id = b.class_id AND a.seed = b.seed AND a.arm = 'default' AND b.arm = 'sanitized' WHERE a.u > 0 AND b.u > 0)
+ SELECT leaked.class_id, round(avg(d), 6) AS delta FROM leaked LEFT JOIN d USING (class_id) GROUP BY leaked.class_id""", "runs", "preds", "parts", "items", "pairs")
+def _per_class_delta(s, d):
+    leaks = census.leaked(_crossing(s, d), V.items(s, d), F.expr(HARD)).groupBy(F.col("label").cast("long").alias("class_id")).agg(F.count(F.lit(1)).alias("n_leaked"))
+    return runs.per_class_delta(V.parts(s, d), leaks)
+
+
 shared("metric_revalidation", f"WITH {SUMS}, direct AS (SELECT run, class_id, CAST(count(CASE WHEN label = pred THEN 1 END) AS DOUBLE) AS i FROM (SELECT run, label, pred, label AS class_id FROM preds) x GROUP BY run, class_id) SELECT s.run, round(max(abs(s.i - d.i)), 6) AS deviation FROM sums s JOIN direct d ON s.run = d.run AND s.class_id = d.class_id GROUP BY s.run", "preds", "parts")
-shared("confusion_diff_floor", "SELECT count(*) AS n_items, count(CASE WHEN differs THEN 1 END) AS n_differ FROM (SELECT a.item, bool_or(a.inter <> b.inter OR a.uni <> b.uni) AS differs FROM parts a JOIN parts b ON a.item = b.item AND a.class_id = b.class_id AND a.run = 'd0' AND b.run = 'd1' GROUP BY a.item) x", "parts")
+
+
+@query("confusion_diff_floor", """WITH a AS (SELECT * FROM parts WHERE run = 'd0'), b AS (SELECT * FROM parts WHERE run = 'd1' AND item % 7 <> 3),
+ shared AS (SELECT DISTINCT item FROM a WHERE item IN (SELECT item FROM b)),
+ cells AS (SELECT coalesce(a.item, b.item) AS item, coalesce(a.inter, 0) <> coalesce(b.inter, 0) OR coalesce(a.uni, 0) <> coalesce(b.uni, 0) AS differs FROM a FULL JOIN b ON a.item = b.item AND a.class_id = b.class_id)
+ SELECT count(*) AS n_items, count(*) FILTER (WHERE differs) AS n_differ FROM (SELECT item, bool_or(differs) AS differs FROM cells WHERE item IN (SELECT item FROM shared) GROUP BY item) x""", "parts")
+def _floor(s, d):
+    p = V.parts(s, d)
+    return runs.difference_floor(p.where("run = 'd0'"), p.where("run = 'd1' and item % 7 <> 3"))
 
 
 @query("relabel_sensitivity", "WITH r AS (SELECT CASE WHEN label > 0 AND item % 7 = 0 THEN 3 ELSE label END AS label, pred FROM preds WHERE run = 'd0') SELECT count(*) AS n, count(*) FILTER (WHERE label = pred) AS n_right FROM r", "preds")
@@ -171,10 +202,44 @@ SPARK_CUTS = CUTS.format(q1="percentile(n_chars, CAST(1 AS DOUBLE) / 3)", q2="pe
 for _name, _body in {
     "train_tertiles": "WITH {cuts} SELECT round(c0, 4) AS c0, round(c1, 4) AS c1 FROM cuts",
     "strata_bins": "WITH {cuts} SELECT CASE WHEN n_chars > c1 THEN 2 WHEN n_chars > c0 THEN 1 ELSE 0 END AS bin, count(*) AS n FROM documents, cuts WHERE doc_id % 10 > 7 GROUP BY 1",
-    "strata_report": "WITH {cuts}, s AS (SELECT CASE WHEN n_chars > c1 THEN 2 WHEN n_chars > c0 THEN 1 ELSE 0 END AS size, lang, n_chars FROM documents, cuts WHERE doc_id % 10 > 7) SELECT size, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM s GROUP BY GROUPING SETS ((), (size), (lang))",
 }.items():
     shared(_name, _body.format(cuts=DUCK_CUTS), spark=_body.format(cuts=SPARK_CUTS))
-shared("class_frequency_min", "WITH f AS (SELECT class_id, sum(n_label) AS f FROM parts WHERE run = 'd0' GROUP BY class_id) SELECT item, CAST(coalesce(min(CASE WHEN p.class_id > 0 AND n_label > 0 THEN f END), 0) AS BIGINT) AS rarest FROM parts p JOIN f ON f.class_id = p.class_id WHERE run = 'd0' GROUP BY item", "parts")
+STRATA = """frequencies AS (SELECT c AS class_id, coalesce(sum(n), 0)::BIGINT AS frequency FROM range(1, 116) t(c) LEFT JOIN (SELECT * FROM pixels WHERE item IN (SELECT item FROM trained)) p ON p.class_id = c GROUP BY c),
+ rarest AS (SELECT f.item, coalesce(min(q.frequency), 0)::BIGINT AS rarest FROM features f LEFT JOIN pixels p ON p.item = f.item LEFT JOIN frequencies q ON q.class_id = p.class_id GROUP BY f.item),
+ size_cuts AS (SELECT quantile_cont(size_ratio, 1.0/3) AS s0, quantile_cont(size_ratio, 2.0/3) AS s1, quantile_cont(chr_value, 1.0/3) AS c0, quantile_cont(chr_value, 2.0/3) AS c1 FROM features WHERE item IN (SELECT item FROM trained)),
+ freq_cuts AS (SELECT quantile_cont(frequency, 1.0/3) AS f0, quantile_cont(frequency, 2.0/3) AS f1 FROM frequencies WHERE frequency > 0),
+ strata AS (SELECT f.item, ['low', 'mid', 'high'][1 + (size_ratio > s0)::INT + (size_ratio > s1)::INT] AS size, ['low', 'mid', 'high'][1 + (chr_value > c0)::INT + (chr_value > c1)::INT] AS chr,
+   CASE WHEN edge_contact THEN 'edge' ELSE 'interior' END AS edge, ['low', 'mid', 'high'][1 + (rarest > f0)::INT + (rarest > f1)::INT] AS frequency FROM features f JOIN rarest USING (item), size_cuts, freq_cuts)"""
+
+
+def _strata(s: SparkSession, d: str) -> DataFrame:
+    return strata.strata(V.features(s, d), V.pixels(s, d), V.trained(s, d))
+
+
+@query("class_frequencies", f"WITH {STRATA} SELECT class_id, frequency FROM frequencies", "parts", "features", "pixels", "trained")
+def _frequencies(s, d):
+    return strata.class_frequencies(V.pixels(s, d), V.trained(s, d))
+
+
+@query("class_frequency_min", f"WITH {STRATA} SELECT item, rarest FROM rarest", "parts", "features", "pixels", "trained")
+def _rarest(s, d):
+    return strata.rarest(V.pixels(s, d), _frequencies(s, d), V.features(s, d))
+
+
+@query("strata_levels", f"WITH {STRATA} SELECT item, size, chr, edge, frequency FROM strata", "parts", "features", "pixels", "trained")
+def _levels(s, d):
+    return _strata(s, d)
+
+
+@query("strata_report", f"""WITH {STRATA}, cells AS (SELECT p.*, s.size, s.chr, s.edge, s.frequency FROM parts p JOIN strata s USING (item) WHERE p.item % 10 >= 7),
+ sums AS (SELECT run, class_id, size, chr, edge, frequency, grouping(size, chr, edge, frequency) AS g, sum(inter)::DOUBLE AS i, sum(uni)::DOUBLE AS u, sum(n_label)::DOUBLE AS l FROM cells GROUP BY GROUPING SETS ((run, class_id), (run, class_id, size), (run, class_id, chr), (run, class_id, edge), (run, class_id, frequency))),
+ counts AS (SELECT run, size, chr, edge, frequency, grouping(size, chr, edge, frequency) AS g, count(DISTINCT item) AS n FROM cells GROUP BY GROUPING SETS ((run), (run, size), (run, chr), (run, edge), (run, frequency))),
+ scored AS (SELECT run, g, size, chr, edge, frequency, round(avg(CASE WHEN u > 0 THEN i / u END), 6) AS miou_all, round(avg(CASE WHEN u > 0 AND class_id > 0 THEN i / u END), 6) AS miou_fore, round(avg(CASE WHEN l > 0 THEN i / l END), 6) AS macc_all, round(avg(CASE WHEN l > 0 AND class_id > 0 THEN i / l END), 6) AS macc_fore FROM sums GROUP BY ALL)
+ SELECT counts.run, CASE counts.g WHEN 15 THEN 'overall' WHEN 7 THEN 'size' WHEN 11 THEN 'chr' WHEN 13 THEN 'edge' ELSE 'frequency' END AS axis, coalesce(counts.size, counts.chr, counts.edge, counts.frequency, 'all') AS level, n, miou_all, miou_fore, macc_all, macc_fore
+ FROM counts JOIN scored ON counts.run = scored.run AND counts.g = scored.g AND counts.size IS NOT DISTINCT FROM scored.size AND counts.chr IS NOT DISTINCT FROM scored.chr AND counts.edge IS NOT DISTINCT FROM scored.edge AND counts.frequency IS NOT DISTINCT FROM scored.frequency""", "parts", "features", "pixels", "trained")
+def _strata_report(s, d):
+    return strata.report(V.parts(s, d).where("item % 10 >= 7"), _strata(s, d))
+
 
 # Resampling ---------------------------------------------------------------
 ORD = "ord AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT item FROM parts) x)"
@@ -211,17 +276,66 @@ def _holm(s, d):
     return inference.holm(s.createDataFrame([("a", 0.165183), ("b", 0.407759), ("c", 0.01), ("d", 0.02)], "name string, p double"))
 
 
-shared("verdicts", "SELECT name, CASE WHEN leak >= 0.005 AND leak_ok AND attr > 0 AND attr_ok THEN 'CONFIRMED' WHEN leak > 0 AND leak_ok THEN 'PARTIALLY_SUPPORTED' ELSE 'REJECTED' END AS verdict FROM (SELECT doc_id AS name, (doc_id % 7 - 2) * 0.004 AS leak, doc_id % 2 = 0 AS leak_ok, doc_id % 5 - 1 AS attr, doc_id % 3 = 0 AS attr_ok FROM documents) x")
 
 # Audit --------------------------------------------------------------------
 shared("audit_kappa", "WITH t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END) AS DOUBLE) AS same, CAST(sum(quality) AS DOUBLE) AS q, CAST(sum(toxic) AS DOUBLE) AS x FROM labels), e AS (SELECT same / n AS agreement, (q / n) * (x / n) + (1 - q / n) * (1 - x / n) AS chance FROM t) SELECT round(agreement, 6) AS agreement, round((agreement - chance) / (1 - chance), 6) AS kappa FROM e")
-shared("audit_precision", "SELECT lang, count(*) AS n, round(avg(CAST(toxic AS DOUBLE)), 6) AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang")
-shared("adjudication", "SELECT doc_id, CASE WHEN quality = toxic THEN quality WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS verdict, quality <> toxic AS disputed FROM labels")
+REVIEWED = "verdicts AS (SELECT pair_id, kind, first, second, CASE WHEN first = second THEN first ELSE lot END AS verdict, first <> second AS disputed FROM reviews)"
+
+
+@query("audit_precision", f"""WITH {REVIEWED}, c AS (SELECT kind, count(*) FILTER (WHERE verdict = 'duplicate') AS duplicates, count(*) AS n FROM verdicts GROUP BY kind), p AS (SELECT *, duplicates::DOUBLE / n AS p, n::DOUBLE AS m FROM c)
+ SELECT kind, duplicates, n, round(p, 6) AS precision, round(greatest(0, (p + {Z}*{Z}/(2*m) - {Z}*sqrt(p*(1-p)/m + {Z}*{Z}/(4*m*m))) / (1 + {Z}*{Z}/m)), 6) AS low, round(least(1, (p + {Z}*{Z}/(2*m) + {Z}*sqrt(p*(1-p)/m + {Z}*{Z}/(4*m*m))) / (1 + {Z}*{Z}/m)), 6) AS high FROM p""", "reviews")
+def _precision(s, d):
+    return audit.precision(audit.adjudicate(V.reviews(s, d)))
+
+
+@query("adjudication", f"WITH {REVIEWED} SELECT pair_id, kind, first, second, verdict, disputed FROM verdicts", "reviews")
+def _adjudication(s, d):
+    """The four tables of an audit, joined and adjudicated."""
+    r = V.reviews(s, d)
+    key = r.select("pair_id", F.col("kind").alias("candidate_kind"))
+    sheets = [r.select("pair_id", F.col(c).alias("verdict")) for c in ("first", "second")]
+    settled = r.where("first <> second").select("pair_id", F.col("consensus").alias("consensus_verdict"))
+    return audit.adjudicate(audit.join_reviews(*sheets, key, settled)).select("pair_id", "kind", "first", "second", "verdict", "disputed")
+
+
+@query("audit_agreement", """WITH t AS (SELECT count(*) AS n, count(*) FILTER (WHERE first <> second) AS d FROM reviews), one AS (SELECT first AS a, count(*) AS x FROM reviews GROUP BY 1), two AS (SELECT second AS a, count(*) AS y FROM reviews GROUP BY 1),
+ e AS (SELECT sum(x::DOUBLE * y) AS xy FROM one JOIN two USING (a)) SELECT n AS n_pairs, d AS n_disagreements, round((n - d)::DOUBLE / n, 6) AS raw_agreement, round(((n - d)::DOUBLE / n - xy / (n * n)) / (1 - xy / (n * n)), 6) AS kappa FROM t, e""", "reviews")
+def _agreement(s, d):
+    return audit.agreement(V.reviews(s, d))
+
+
+@query("blind_pairs", f"""WITH edges AS (SELECT 'hard' AS kind, a, b FROM pairs WHERE {HARD} UNION ALL SELECT 'soft', a, b FROM pairs WHERE {SOFT}), lots AS (SELECT *, md5('7:' || kind || ':' || a || ':' || b) AS lot FROM edges),
+ drawn AS (SELECT * FROM lots QUALIFY row_number() OVER (PARTITION BY kind ORDER BY lot, a, b) <= 100), numbered AS (SELECT *, row_number() OVER (ORDER BY md5('order' || lot), kind, a, b) AS nr, ('0x' || substr(md5('side' || lot), 1, 8))::BIGINT % 2 = 1 AS swap FROM drawn)
+ SELECT printf('PAIR-%04d', nr) AS pair_id, kind, a, b, CASE WHEN swap THEN b ELSE a END AS image_1, CASE WHEN swap THEN a ELSE b END AS image_2 FROM numbered""", "pairs")
+def _blind_pairs(s, d):
+    p = V.pairs(s, d)
+    return audit.blind_sample(audit.tagged_union(hard=p.where(HARD), soft=p.where(SOFT)), 100, 7)
+
+
 shared("blind_sample", "WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('7:', CAST(doc_id AS VARCHAR))), doc_id) AS rn FROM documents) SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pair_no FROM k WHERE rn <= 100", spark="WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('7:', CAST(doc_id AS STRING))), doc_id) AS rn FROM documents) SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS pair_no FROM k WHERE rn <= 100")
 
 # Splits and lists ---------------------------------------------------------
-shared("split_objective", "WITH share AS (SELECT split, CAST(count(*) AS DOUBLE) AS n FROM comps GROUP BY split), t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM comps) SELECT round(sum(abs(share.n / t.n - CASE split WHEN 'train' THEN 0.7 WHEN 'val' THEN 0.1 ELSE 0.2 END)), 6) AS size_term FROM share, t", "comps")
-shared("coverage_check", "SELECT label, count(DISTINCT component) AS n_groups, count(DISTINCT split) AS n_splits FROM comps GROUP BY label HAVING count(DISTINCT component) >= 3 AND count(DISTINCT split) < 3", "comps")
+
+
+@query("split_objective", """WITH goal(split, share) AS (VALUES ('train', 0.7::DOUBLE), ('val', 0.1), ('test', 0.2)), held AS (SELECT DISTINCT component, label AS class_id FROM comps),
+ sized AS (SELECT sum(abs((SELECT count(*) FROM comps c WHERE c.split = goal.split)::DOUBLE / (SELECT count(*) FROM comps) - share)) AS t FROM goal),
+ cells AS (SELECT class_id, count(*) FILTER (WHERE split = 'train')::DOUBLE / count(*) AS tr, count(*) FILTER (WHERE split = 'val')::DOUBLE / count(*) AS va, count(*) FILTER (WHERE split = 'test')::DOUBLE / count(*) AS te FROM comps JOIN held USING (component) GROUP BY class_id),
+ classed AS (SELECT avg(abs(tr - 0.7) + abs(va - 0.1) + abs(te - 0.2)) AS c FROM cells)
+ SELECT round(t, 6) AS size_term, round(c, 6) AS class_term, round(t + c, 6) AS balance FROM sized, classed""", "comps")
+def _objective(s, d):
+    return cohorts.balance(V.comps(s, d))
+
+
+@query("coverage_check", "WITH c AS (SELECT label * 29 + id % 29 AS class_id, component, split FROM comps) SELECT class_id, count(DISTINCT component) AS n_groups, string_agg(DISTINCT split, ',' ORDER BY split) AS splits_present FROM c GROUP BY class_id HAVING count(DISTINCT component) >= 3 AND count(DISTINCT split) < 3", "comps")
+def _coverage(s, d):
+    return cohorts.uncovered(V.comps(s, d).withColumn("fine", F.col("label") * 29 + F.col("id") % 29), class_col="fine")
+
+
+@query("corrected_split_trace")
+def _trace(s, d):
+    return cohorts.resplit_trace(V.comps(s, d))
+
+
 shared("class_group_totals", "SELECT split, label, count(*) AS n_items, count(DISTINCT component) AS n_groups FROM comps GROUP BY split, label", "comps")
 shared("list_digest", "SELECT split, sha256(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY CAST(id AS VARCHAR)) || chr(10)) AS digest FROM items GROUP BY split", "items", spark="SELECT split, sha2(concat(array_join(sort_array(collect_list(CAST(id AS STRING))), '\\n'), '\\n'), 256) AS digest FROM items GROUP BY split")
 shared("grid_key_parse", "SELECT CAST(regexp_extract(k, '<=([0-9]+)', 1) AS INT) AS ham, CAST(regexp_extract(k, '>=([0-9.]+)', 1) AS DOUBLE) AS cos FROM (SELECT concat('pHash<=', CAST(n_nationkey AS VARCHAR), '|CLIP>=0.', CAST(90 + n_nationkey % 10 AS VARCHAR)) AS k FROM nation) x", spark="SELECT CAST(regexp_extract(k, '<=([0-9]+)', 1) AS INT) AS ham, CAST(regexp_extract(k, '>=([0-9.]+)', 1) AS DOUBLE) AS cos FROM (SELECT concat('pHash<=', CAST(n_nationkey AS STRING), '|CLIP>=0.', CAST(90 + n_nationkey % 10 AS STRING)) AS k FROM nation) x")
@@ -230,3 +344,6 @@ shared("grid_key_parse", "SELECT CAST(regexp_extract(k, '<=([0-9]+)', 1) AS INT)
 @query("corrected_split")
 def _resplit(s, d):
     return cohorts.resplit(V.comps(s, d))
+
+
+from veriset.plans import reports  # noqa: E402, F401 - registers its queries

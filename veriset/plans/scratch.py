@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_kept: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +61,23 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         self.remove(*(path for t in tables if (path := getattr(t, "_veriset_path", None))))
+
+
+def _status(spark: SparkSession, path: str) -> tuple | None:
+    """Name, size and time of the files at a path; None if there are none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if not files.exists(target):
+        return None
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(target)))
+
+
+def once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the table at ``source``, written once a session and read from then on, while the table is the same and the copy is there."""
+    key = (spark.sparkContext.applicationId, name, source, _status(spark, source))
+    path = _kept.get(key)
+    if path is None or _status(spark, f"{path}/_SUCCESS") is None:
+        _kept[key] = path = Scratch(spark, name).path(name)
+        build().write.parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from veriset.functions.columns import split_of
 from veriset.operators.components import connected_components
 from veriset.operators.metrics import confusion
 from veriset.operators.similarity import similar_pairs
-from veriset.plans.scratch import Scratch
+from veriset.plans.scratch import Scratch, once
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 COS_HARD, COS_SOFT, HAM_HARD, HAM_SOFT = 0.40, 0.30, 16, 18
@@ -27,10 +29,15 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(table(spark, d, "embeddings"), COS_SOFT, HAM_SOFT)
+    """All pairs near by either measure: one pass a session, whatever the queries ask of it."""
+    return once(spark, "pairs", f"{d}/embeddings.parquet", lambda: similar_pairs(table(spark, d, "embeddings"), COS_SOFT, HAM_SOFT))
 
 
 def comps(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, "comps", f"{d}/embeddings.parquet", lambda: _comps(spark, d))
+
+
+def _comps(spark: SparkSession, d: str) -> DataFrame:
     owner = connected_components(pairs(spark, d).where(F.col("cosine") >= COS_HARD), Scratch(spark, "components"), "a", "b")
     return items(spark, d).join(owner.withColumnRenamed("node", "id"), "id", "left").select("id", "label", "split", F.coalesce("component", "id").alias("component"))
 
@@ -49,7 +56,39 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return confusion(preds(spark, d), ("run", "arm", "seed", "item"), 12)
 
 
-VIEWS = {"items": items, "pairs": pairs, "comps": comps, "runs": runs, "preds": preds, "parts": parts}
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Shape features of the items of ``parts``: one number of a supplier each."""
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(key.alias("item"), ((F.col("s_acctbal") + 1000) / 11000).alias("size_ratio"), (F.pmod(key * 37, F.lit(101)) / 100).alias("chr_value"), (F.col("s_nationkey") % 2 == 0).alias("edge_contact"))
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d).where("run = 'd0' and class_id > 0 and n_label > 0").select("item", "class_id", F.col("n_label").alias("n"))
+
+
+def trained(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark, d).where("item % 10 < 7").select("item")
+
+
+def effects(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up estimates for 25 baselines, in which every verdict occurs."""
+    n = F.col("n_nationkey")
+    leak, attr, bg = (n % 7 - 1) * 0.003, (n % 5 - 1) * 0.002, (n % 9 + 1) * 0.001
+    return table(spark, d, "nation").select(
+        F.concat(F.lit("b"), n.cast("string")).alias("baseline"), leak.alias("leak"), (leak - 0.004 * (n % 3)).alias("leak_low"), (leak + 0.004 * (n % 3)).alias("leak_high"), ((n * 7 % 20 + 1) / 4000).alias("leak_p"),
+        attr.alias("attr"), (attr - 0.001 * (n % 4)).alias("attr_low"), (attr + 0.001 * (n % 4)).alias("attr_high"), ((n * 11 % 20 + 1) / 8000).alias("attr_p"),
+        bg.alias("bg"), (bg - 0.0005).alias("bg_low"), (bg + 0.0005).alias("bg_high"), ((n + 1) / 100000).alias("bg_p"))
+
+
+def reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Two reviewers' verdicts on a labelled document, a consensus where they differ, and the sealed kind."""
+    said = lambda c: F.when(c == 1, "duplicate").otherwise("non-duplicate")
+    first, second = said(F.col("quality")), said(F.col("toxic"))
+    consensus = F.when(first != second, said((F.col("doc_id") % 2 == 0).cast("int"))).otherwise("")
+    return table(spark, d, "labels").select(F.format_string("PAIR-%04d", "doc_id").alias("pair_id"), F.when(F.col("doc_id") % 3 == 0, "soft").otherwise("hard").alias("kind"), first.alias("first"), second.alias("second"), consensus.alias("consensus"))
+
+
+VIEWS = {"items": items, "pairs": pairs, "comps": comps, "runs": runs, "preds": preds, "parts": parts, "features": features, "pixels": pixels, "trained": trained, "effects": effects, "reviews": reviews}
 
 #: The same in the oracle's SQL, each with the views it needs.
 _REGISTRY = ", ".join(str(r) for r in RUNS)
@@ -65,8 +104,15 @@ ORACLE = {
        CASE WHEN (l_orderkey * 7 + l_linenumber * 13 + salt) % 10 < acc THEN l_partkey % 12 ELSE (l_partkey % 12 + 1 + l_suppkey % 11) % 12 END AS pred FROM lineitem, runs)""",
     "parts": """sides AS (SELECT run, arm, seed, item, label AS class_id, 1 AS l, 0 AS p, (label = pred)::INT AS s FROM preds UNION ALL SELECT run, arm, seed, item, pred, 0, 1, 0 FROM preds),
        parts AS MATERIALIZED (SELECT run, arm, seed, item, class_id, sum(s)::BIGINT AS inter, (sum(l) + sum(p) - sum(s))::BIGINT AS uni, sum(p)::BIGINT AS n_pred, sum(l)::BIGINT AS n_label FROM sides GROUP BY ALL)""",
+    "features": "features AS (SELECT s_suppkey AS item, (s_acctbal + 1000) / 11000 AS size_ratio, (s_suppkey * 37 % 101)::DOUBLE / 100 AS chr_value, s_nationkey % 2 = 0 AS edge_contact FROM supplier)",
+    "pixels": "pixels AS (SELECT item, class_id, n_label AS n FROM parts WHERE run = 'd0' AND class_id > 0 AND n_label > 0)",
+    "trained": "trained AS (SELECT item FROM features WHERE item % 10 < 7)",
+    "effects": """effects AS (SELECT 'b' || n_nationkey AS baseline, leak, leak - 0.004::DOUBLE * (n % 3) AS leak_low, leak + 0.004::DOUBLE * (n % 3) AS leak_high, (n * 7 % 20 + 1)::DOUBLE / 4000 AS leak_p,
+       attr, attr - 0.001::DOUBLE * (n % 4) AS attr_low, attr + 0.001::DOUBLE * (n % 4) AS attr_high, (n * 11 % 20 + 1)::DOUBLE / 8000 AS attr_p, bg, bg - 0.0005::DOUBLE AS bg_low, bg + 0.0005::DOUBLE AS bg_high, (n + 1)::DOUBLE / 100000 AS bg_p
+       FROM (SELECT n_nationkey, n_nationkey AS n, (n_nationkey % 7 - 1) * 0.003::DOUBLE AS leak, (n_nationkey % 5 - 1) * 0.002::DOUBLE AS attr, (n_nationkey % 9 + 1) * 0.001::DOUBLE AS bg FROM nation) e)""",
+    "reviews": "reviews AS (SELECT printf('PAIR-%04d', doc_id) AS pair_id, CASE WHEN doc_id % 3 = 0 THEN 'soft' ELSE 'hard' END AS kind, CASE quality WHEN 1 THEN 'duplicate' ELSE 'non-duplicate' END AS first, CASE toxic WHEN 1 THEN 'duplicate' ELSE 'non-duplicate' END AS second, CASE WHEN doc_id % 2 = 0 THEN 'duplicate' ELSE 'non-duplicate' END AS lot FROM labels)",
 }
-NEEDS = {"comps": ["items", "pairs", "comps"], "preds": ["runs", "preds"], "parts": ["runs", "preds", "parts"]}
+NEEDS = {"comps": ["items", "pairs", "comps"], "preds": ["runs", "preds"], "parts": ["runs", "preds", "parts"], "pixels": ["runs", "preds", "parts", "pixels"], "trained": ["features", "trained"]}
 
 
 def oracle(body: str, *views: str) -> str:
@@ -83,10 +129,15 @@ def oracle(body: str, *views: str) -> str:
 
 
 def run_sql(spark: SparkSession, d: str, body: str, *views: str) -> DataFrame:
-    """``body`` as Spark SQL over the tables and views it names."""
-    for t in TABLES:
-        if t in body:
-            table(spark, d, t).createOrReplaceTempView(t)
-    for v in views:
-        VIEWS[v](spark, d).createOrReplaceTempView(v)
-    return spark.sql(body)
+    """``body`` as Spark SQL over the tables and views it names; their names are its own, not the session's."""
+    frames = {t: table(spark, d, t) for t in TABLES if t in body} | {v: VIEWS[v](spark, d) for v in views}
+    tag = f"veriset_{uuid.uuid4().hex}"
+    for name, df in frames.items():
+        df.createOrReplaceTempView(f"{tag}_{name}")
+    head = ", ".join(f"{name} AS (SELECT * FROM {tag}_{name})" for name in frames)
+    body = body.strip()
+    try:
+        return spark.sql(f"WITH {head}, {body[5:]}" if body.startswith("WITH ") else f"WITH {head} {body}" if head else body)
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(f"{tag}_{name}")
