@@ -2,47 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriset.operators.shipping import prepare  # noqa: F401 - what every kernel needs first
+
 #: ASCII white space of every contract: the space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch and bytes of text that a kernel holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
-_shipped: set[str] = set()
+#: Bytes of text that a kernel holds at once.
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Before Python kernels run: executors can import this package, and get batches of few rows.
-
-    The package is shipped as a zip, so nothing needs to be installed on the
-    executors; batches are small since one text may be very long.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="veriset-code-")
-    with zipfile.ZipFile(f"{folder}/veriset.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(f"{folder}/veriset.zip")
-    _shipped.add(context.applicationId)
-
-
 def ascii_lower(x: Column) -> Column:
     """Lower-case A to Z only; ``lower`` does just that where a text is ASCII."""
     return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
@@ -50,7 +29,7 @@ def ascii_lower(x: Column) -> Column:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """``id`` and ``body`` (UTF-8 bytes; a null text is empty): nothing else of the table is read."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), *more)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("body"), *more)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

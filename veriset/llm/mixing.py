@@ -126,18 +126,11 @@ def targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TARGETS_SQL = r"""
-WITH RECURSIVE s AS (
-  SELECT source, count(*) AS n_docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY source),
-w AS (SELECT *, 1.0 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, (SELECT sum(size) FROM s) AS whole FROM s),
--- Each round caps the sources that their share of what is left would lift above three times their size.
-rounds(n, capped) AS (
-  SELECT 0, []::VARCHAR[]
-  UNION
-  SELECT n + 1, (SELECT coalesce(list_sort(list(coalesce(source, chr(0)))), []) FROM w, LATERAL (
-      SELECT (whole - coalesce(sum(3.0 * v.size) FILTER (WHERE list_contains(capped, coalesce(v.source, chr(0)))), 0)) / sum(v.weight) FILTER (WHERE NOT list_contains(capped, coalesce(v.source, chr(0)))) AS level FROM w v) l
-      WHERE list_contains(capped, coalesce(source, chr(0))) OR level * weight > 3.0 * size)
-  FROM rounds WHERE n < 60),
-f AS (SELECT capped FROM rounds ORDER BY n DESC LIMIT 1),
-l AS (SELECT (max(whole) - coalesce(sum(3.0 * size) FILTER (WHERE list_contains(capped, coalesce(source, chr(0)))), 0)) / sum(weight) FILTER (WHERE NOT list_contains(capped, coalesce(source, chr(0)))) AS level FROM w, f)
-SELECT source, n_docs, size AS source_size, round((CASE WHEN list_contains(capped, coalesce(source, chr(0))) THEN 3.0 * size ELSE level * weight END)::DOUBLE, 4) AS target FROM w, f, l
+WITH s AS (SELECT source, count(*) AS n_docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS size FROM documents GROUP BY source),
+w AS (SELECT *, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight, sum(size) OVER () AS whole FROM s),
+-- The water level at which all sources share everything: found by trying each source's cap as the level.
+tried AS (SELECT x.source AS at, 3.0 * x.size / x.weight AS level, sum(least(3.0 * x.size / x.weight * w.weight, 3.0 * w.size))::DOUBLE AS used FROM w x, w GROUP BY ALL),
+below AS (SELECT coalesce(max(level), 0) AS low FROM tried, (SELECT max(whole) AS whole FROM w) m WHERE used <= whole),
+fill AS (SELECT (max(whole) - coalesce(sum(3.0 * size) FILTER (WHERE 3.0 * size / weight <= low), 0))::DOUBLE / sum(weight) FILTER (WHERE 3.0 * size / weight > low) AS level FROM w, below)
+SELECT source, n_docs, size AS source_size, round(least(coalesce(level, 'inf'::DOUBLE) * weight, 3.0 * size)::DOUBLE, 4) AS target FROM w, fill
 """

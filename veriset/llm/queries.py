@@ -21,15 +21,23 @@ MODULES = {
     "op10_repetition": "repetition",
 }
 
+#: What SQL can check of operators that it cannot express: name -> module, its function and its SQL.
+VIEWS = {
+    "license_scan_base": ("license_scan", "base_query", "BASE_SQL"),
+    "source_mix_targets": ("mixing", "targets_query", "TARGETS_SQL"),
+    "repetition_base": ("repetition", "base_query", "BASE_SQL"),
+}
+
 
-def _lazy(module: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: import_module(f"veriset.llm.{module}").query(spark, sf_dir)
+def _lazy(module: str, function: str = "query") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: getattr(import_module(f"veriset.llm.{module}"), function)(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _lazy(module) for name, module in MODULES.items()}
+    return {name: _lazy(module) for name, module in MODULES.items()} | {name: _lazy(module, function) for name, (module, function, _) in VIEWS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"veriset.llm.{module}"), "SQL", None) for name, module in MODULES.items()}
+    wanted = {name: (module, "SQL") for name, module in MODULES.items()} | {name: (module, sql) for name, (module, _, sql) in VIEWS.items()}
+    found = {name: getattr(import_module(f"veriset.llm.{module}"), sql, None) for name, (module, sql) in wanted.items()}
     return {name: sql for name, sql in found.items() if sql}

@@ -14,11 +14,13 @@ than ``base_percent`` of it, if repeats of ``long_words`` or more cover more tha
 than ``long_words``.
 
 Work is per text and per slice of bounded bytes: no shuffle, no state between
-rows, so skew of any key does not matter.
+rows, so skew of any key does not matter.  A round keeps the ranks of those suffixes
+alone that still shared theirs: beside some arrays of the text's words, memory grows
+with the repeated part of a text, by its doublings.
 
 Defined results: a null or empty text has no words and fails as too short; rows
-that share an id are judged one by one; an empty table gives no rows; other
-columns are not read.
+that share an id, or that have none, are judged one by one; an empty table gives no
+rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_PERCENT, MIN_WORDS, LONG_WORDS, LONG_PERCENT, LONGEST_PERCENT = 8, 30, 20, 24, 25, 20
 
 
-def suffix_ranks(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Ranks of all suffixes, and for each doubling the ranks by that many words.
+def suffix_ranks(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Ranks of all suffixes, and for each doubling ``(h, places, ranks)`` of the suffixes that shared their first h / 2 words with others.
 
     ``words`` are numbers that no two texts share; ``ends[i]`` is where the text of
-    place ``i`` ends.  Two places with the same rank at length h have the same h words.
+    place ``i`` ends.  Two places with the same rank at length h have the same h words;
+    a place that is not among a round's has them for itself.
     """
     n = len(words)
     order = np.argsort(words, kind="stable")
@@ -49,7 +52,7 @@ def suffix_ranks(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[
     leader = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = leader
-    levels = [(1, rank.copy())]
+    levels = []
     single = first & np.r_[first[1:], True]
     active = order[~single]
     h = 1
@@ -65,13 +68,21 @@ def suffix_ranks(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[
         at = np.arange(len(active))
         group_at = np.maximum.accumulate(np.where(group, at, 0))
         part_at = np.maximum.accumulate(np.where(part, at, 0))
-        rank[active] = old + part_at - group_at
+        fresh = old + part_at - group_at
+        rank[active] = fresh
         h *= 2
-        levels.append((h, rank.copy()))
+        by = np.argsort(active)
+        levels.append((h, active[by], fresh[by]))
         active = active[~(part & np.r_[part[1:], True])]
     return rank, levels
 
 
+def _found(places: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the numbers stand among the ascending places, and whether they do."""
+    at = np.minimum(np.searchsorted(places, x), len(places) - 1)
+    return at, places[at] == x
+
+
 def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each place the most words from there that also start at another place of its text."""
     n = len(words)
@@ -85,12 +96,17 @@ def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     pairs = np.flatnonzero(words[a] == words[b])
     x, y = a[pairs].copy(), b[pairs].copy()
     stop_x, stop_y, common = ends[x], ends[y], np.zeros(len(pairs), np.int64)
-    for h, ranks in reversed(levels):
+    while levels:
+        h, places, ranks = levels.pop()
         room = np.flatnonzero((x + h <= stop_x) & (y + h <= stop_y))
-        same = room[ranks[x[room]] == ranks[y[room]]]
+        at, known = _found(places, x[room])
+        at2, known2 = _found(places, y[room])
+        same = room[known & known2 & (ranks[at] == ranks[at2])]
         x[same] += h
         y[same] += h
         common[same] += h
+    room = np.flatnonzero((x < stop_x) & (y < stop_y))
+    common[room] += words[x[room]] == words[y[room]]
     out = np.zeros(n, np.int64)
     np.maximum.at(out, a[pairs], common)
     np.maximum.at(out, b[pairs], common)
@@ -165,3 +181,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that SQL can check: all but the method's verdict."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d) x),
+twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) x GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+       coalesce(lines.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(inside.n, 0) > 30 * len(ws) AS base_failed
+FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN lines USING (doc_id)
+"""

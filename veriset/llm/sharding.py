@@ -7,7 +7,8 @@ holds its middle byte, so a shard misses its target by one document at most.
 
 Defined results: a null text has no bytes (size 1, checksum 0); an empty table
 gives no rows; rows that share an id stand together in an order given by size
-and checksum; rows with a null id come first; other columns are not read.
+and checksum; rows with a null id come first; other columns are not read, whatever
+their names.  A very long text is read once and stays where it lies.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     if shards < 1:
         raise ValueError("at least one shard")
     scratch = Scratch(docs.sparkSession, "sharding")
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    sized = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     order = [F.col("id"), F.col("size"), F.col("text_crc32")]
     ranged = scratch.cut(in_ranges(sized, *order), "ranged")
     summed = prefix_sums(ranged, order, {"start_byte": F.col("size"), "row": F.lit(1).cast("long")})
@@ -38,3 +39,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The table of CRC-32 is made from its polynomial; text bytes come from their hex digits.
+SQL = r"""
+WITH RECURSIVE bits(v, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+poly AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, length(h) // 2 + 1 AS size, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS crc FROM b, poly),
+s AS (SELECT *, coalesce(sum(size) OVER w, 0) AS before, sum(size) OVER () AS whole FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, crc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, least(15, (2 * before + size) * 16 // (2 * whole))::INT AS shard FROM s)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""

@@ -4,25 +4,30 @@ Learning.  Labelled rows outside the held-out third (crc32 of the id as text,
 modulo 3, is 1) give at most ``SAMPLE`` documents of each class, by the order of
 a hash of their ids: a stated bound, so this small table may be broadcast.  One half of
 them yields the lexicon: words, and word beginnings of 4 to 8 signs, that stand in
-far more toxic documents than clean ones.  The other half fits the weights of a
-logistic model over a dozen features.  Only the text is ever scored.
-
-Matching.  The lexicon is a trie; its intersection with the automaton of edit
-distance one (in any sign; words and word beginnings of ``LEAST_EDITED`` signs and
-more) is made deterministic lazily: a state is a set of (trie node, edits), each step
-is one dictionary lookup, and most words of ordinary text die within a few signs.
-What stands under a beginning too short for edits is kept as a term of its own.
-
-Context.  Within ``AROUND`` words a hit between quotation marks or near a verb of
-report counts as quoted, a hit near a word of address as aimed at somebody; the
-model weighs plain, misspelled, quoted and aimed hits apart.
+far more toxic documents than clean ones; all of them are used, so the lexicon is
+bounded by the sample alone.  The other half fits the weights of a logistic model over
+a dozen features.  Only the text is ever scored.
+
+Matching.  The lexicon is a trie; its intersection with the automaton of the edit
+distance (signs too many, too few or exchanged, and neighbours that changed places) is
+made deterministic lazily: a state is a set of (trie node, edits, sign still awaited),
+each step is one dictionary lookup, and most words of ordinary text die within a few
+signs.  The distance allowed grows with a term's length (``EDITS``).  What stands under
+a beginning too short for edits is kept as a term of its own.
+
+Context.  Within ``AROUND`` words a hit between a pair of quotation marks, or near a
+verb of report, counts as quoted; a hit near a word of address as aimed at somebody.
+Both word lists are parameters of ``fit``.  The model weighs plain, misspelled, quoted
+and aimed hits apart.
 
 Rows are scored where they lie, so no key can be skewed.
 
 Defined results: a null or empty text has no hits and the score that the model
 gives to that; rows that share an id are scored one by one; null labels and null
-ids teach nothing; without a toxic or a clean row to learn from all scores are 0;
-an empty table gives no rows; other columns are not read.
+ids teach nothing, and an id labelled both ways teaches both; without a toxic or a
+clean row to learn from all scores are 0; an empty table gives no rows; other columns
+are not read, and ``keep_clean`` passes them through, whatever their names.  A very
+long text costs its words and one entry for each hit.
 """
 
 from __future__ import annotations
@@ -40,12 +45,16 @@ from veriset.llm.common import chunks, prepare, table, texts
 from veriset.llm.tokens import release
 from veriset.plans.scratch import Scratch
 
-SAMPLE, MOST_TERMS, MIN_ODDS, AROUND, THRESHOLD = 4000, 400, 2.5, 8, 0.7
+SAMPLE, MIN_ODDS, AROUND, THRESHOLD = 4000, 2.5, 8, 0.7
 PREFIXES = range(4, 9)
-#: Signs of a word or a word beginning from which on one edit is allowed.
-LEAST_EDITED = 5
-PUNCTUATION = ".,;:!?\"'()[]{}<>|*_-–—…«»“”„‘’`#%&$~"
-OPENING, CLOSING = "\"'«“„‘(", "\"'»”“’)"
+#: Signs of a word or a word beginning from which on so many edits are allowed.
+EDITS = {5: 1, 10: 2}
+LEAST_EDITED, MOST_EDITS = min(EDITS), max(EDITS.values())
+PUNCTUATION = ".,;:!?\"'()[]{}<>|*_-–—…«»“”„‘’‚`#%&$~"
+#: Quotation marks, and what closes each.
+QUOTES = {'"': '"', "'": "'", "«": "»", "»": "«", "“": "”", "„": "“”", "‘": "’", "‚": "‘"}
+CLOSING = "".join(QUOTES.values())
+STOPS = ".,;:!?…"
 #: Verbs of report and words of address, in the corpus's languages.
 REPORT = frozenset("said says wrote quote quoted called dit écrit sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your you're u du dich dir dein tu te vous toi tú usted ustedes vosotros".split())
@@ -61,6 +70,8 @@ class Lexicon:
 
     terms: list[str]
     odds: list[float]
+    report: frozenset[str] = REPORT
+    address: frozenset[str] = ADDRESS
     children: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ends: dict[int, int] = field(default_factory=dict)
     begins: dict[int, int] = field(default_factory=dict)
@@ -76,23 +87,52 @@ class Lexicon:
             (self.begins if term.endswith("*") else self.ends)[node] = k
 
 
+def allowed(term: str) -> int:
+    """Edits that a term takes, by its signs."""
+    n = len(term.removesuffix("*"))
+    return max((e for least, e in EDITS.items() if n >= least), default=0)
+
+
 class Automaton:
-    """The lexicon's trie intersected with edit distance one, made deterministic as words ask for it.
+    """The lexicon's trie intersected with the edit distance, made deterministic as words ask for it.
 
-    ``first_sign``: the first sign may be edited too, as it is wherever texts are matched.
+    An item ``(node, edits, sign)`` that awaits a sign has read the second of two
+    neighbours that changed places; the next sign must be the first.
     """
 
-    def __init__(self, lexicon: Lexicon, first_sign: bool = False) -> None:
-        self.lex, self.first_sign = lexicon, first_sign
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lex = lexicon
+        self.edits = [allowed(t) for t in lexicon.terms]
+        self.reach = [0] * len(lexicon.children)  # the most edits that any term through a node takes
+        for k, term in enumerate(lexicon.terms):
+            node = 0
+            self.reach[0] = max(self.reach[0], self.edits[k])
+            for c in term.removesuffix("*"):
+                node = lexicon.children[node][c]
+                self.reach[node] = max(self.reach[node], self.edits[k])
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.begin: list[int] = []  # the word beginning that a state completes, or -1
-        self.near: list[int] = []  # the same with one edit
+        self.near: list[int] = []  # the same with edits
         self.final: list[tuple[int, int]] = []  # term and edits if a word ends here
-        self.start = self._number(frozenset({(0, 0)}))
+        self.start = self._number(self._closed({(0, 0, "")}))
         self.dead = self._number(frozenset())
 
+    def _closed(self, items: set[tuple[int, int, str]]) -> frozenset:
+        """With the items that signs left out lead to; without those that no term takes."""
+        open_ = [x for x in items if x[1] <= self.reach[x[0]]]
+        out = set(open_)
+        while open_:
+            node, e, sign = open_.pop()
+            if not sign and e < MOST_EDITS:
+                for child in self.lex.children[node].values():
+                    item = (child, e + 1, "")
+                    if e < self.reach[child] and item not in out:
+                        out.add(item)
+                        open_.append(item)
+        return frozenset(x for x in out if x[2] or not any((x[0], e, "") in out for e in range(x[1])))
+
     def _number(self, items: frozenset) -> int:
         if items in self.numbers:
             return self.numbers[items]
@@ -100,34 +140,37 @@ class Automaton:
         self.numbers[items] = n = len(self.states)
         self.states.append(items)
         self.moves.append({})
-        self.begin.append(next((lex.begins[node] for node, e in items if not e and node in lex.begins), -1))
-        self.near.append(min((lex.begins[node] for node, e in items if e and node in lex.begins and len(lex.terms[lex.begins[node]]) > LEAST_EDITED), default=-1))
-        exact = [lex.ends[node] for node, e in items if not e and node in lex.ends]
-        near = [lex.ends[node] for node, e in items if e and node in lex.ends and len(lex.terms[lex.ends[node]]) >= LEAST_EDITED]
-        self.final.append((min(exact), 0) if exact else (min(near), 1) if near else (-1, 0))
+        whole = [(node, e) for node, e, sign in items if not sign]
+        self.begin.append(next((lex.begins[node] for node, e in whole if not e and node in lex.begins), -1))
+        self.near.append(min((lex.begins[node] for node, e in whole if e and node in lex.begins and e <= self.edits[lex.begins[node]]), default=-1))
+        exact = [lex.ends[node] for node, e in whole if not e and node in lex.ends]
+        near = [(e, lex.ends[node]) for node, e in whole if e and node in lex.ends and e <= self.edits[lex.ends[node]]]
+        self.final.append((min(exact), 0) if exact else min(near)[::-1] if near else (-1, 0))
         return n
 
     def _step(self, state: int, c: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, e in self.states[state]:
-            below = self.lex.children[node]
+        out: set[tuple[int, int, str]] = set()
+        children = self.lex.children
+        for node, e, sign in self.states[state]:
+            if sign:
+                if sign == c:
+                    out.add((node, e, ""))
+                continue
+            below = children[node]
             if c in below:
-                out.add((below[c], e))
-            if not e and (node or self.first_sign):
-                out.add((node, 1))  # a sign too many
-                for sign, child in below.items():
-                    if sign != c:
-                        out.add((child, 1))  # another sign
-                    if c in self.lex.children[child]:
-                        out.add((self.lex.children[child][c], 1))  # a sign too few
-        for node, e in list(out):  # the last sign may be missing
-            if not e:
-                out.update((child, 1) for child in self.lex.children[node].values() if child in self.lex.ends or child in self.lex.begins)
-        self.moves[state][c] = n = self._number(frozenset(out))
+                out.add((below[c], e, ""))
+            if e < self.reach[node]:
+                out.add((node, e + 1, ""))  # a sign too many
+                for other, child in below.items():
+                    if other != c:
+                        out.add((child, e + 1, ""))  # another sign
+                        if c in children[child]:
+                            out.add((children[child][c], e + 1, other))  # neighbours changed places
+        self.moves[state][c] = n = self._number(self._closed(out))
         return n
 
     def match(self, word: str) -> tuple[int, int]:
-        """``(term, kind)``: kind 1 exact, 2 word beginning, 3 either with one edit, 0 nothing."""
+        """``(term, kind)``: kind 1 exact, 2 word beginning, 3 either with edits, 0 nothing."""
         state, begin, near = self.start, -1, -1
         for c in word:
             if begin < 0:
@@ -154,11 +197,21 @@ class Automaton:
 N_FEATURES = 10
 
 
+def quoted(words: list[str], i: int) -> bool:
+    """Whether word i stands between a pair of quotation marks, both within ``AROUND`` words of it."""
+    for j in range(i, max(-1, i - AROUND - 1), -1):
+        if j < i and words[j].rstrip(STOPS)[-1:] in CLOSING and words[j].rstrip(STOPS):
+            return False  # what was opened before is closed again
+        if closing := QUOTES.get(words[j].lstrip("([")[:1]):
+            return any(w.rstrip(STOPS + ")]")[-1:] in closing for w in words[i : i + AROUND + 1] if w.rstrip(STOPS + ")]"))
+    return False
+
+
 class Matcher:
     """Features of texts, with a bounded memory of words already matched."""
 
     def __init__(self, lexicon: Lexicon, most: int = 300_000) -> None:
-        self.lex, self.automaton, self.most = lexicon, Automaton(lexicon, first_sign=True), most
+        self.lex, self.automaton, self.most = lexicon, Automaton(lexicon), most
         self.known: dict[str, tuple[int, int] | int] = {}
 
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
@@ -184,21 +237,21 @@ class Matcher:
         hits = self.hits(words)
         if not hits:
             return out
-        plain = fuzzy = quoted = aimed = 0
+        report, address = self.lex.report, self.lex.address
+        plain = fuzzy = cited = aimed = 0
         top = top_fuzzy = total = 0.0
         for i, term, kind in hits:
             before, after = words[max(0, i - AROUND) : i + 1], words[i : i + AROUND + 1]
-            inside = any(w[0] in OPENING for w in before) and any(w[-1] in CLOSING for w in after)
-            if inside or not REPORT.isdisjoint(before) or not REPORT.isdisjoint(after):
-                quoted += 1
+            if not report.isdisjoint(before) or not report.isdisjoint(after) or quoted(words, i):
+                cited += 1
                 continue
-            aimed += not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after)
+            aimed += not address.isdisjoint(before) or not address.isdisjoint(after)
             odds = self.lex.odds[term]
             if kind == 3:
                 fuzzy, top_fuzzy = fuzzy + 1, max(top_fuzzy, odds)
             else:
                 plain, top, total = plain + 1, max(top, odds), total + odds
-        out[:] = (np.log1p(plain), np.log1p(fuzzy), np.log1p(quoted), np.log1p(aimed), top, top_fuzzy, np.log1p(total), plain > 0, np.log1p(len({t for _, t, _ in hits})), 100 * plain / len(words))
+        out[:] = (np.log1p(plain), np.log1p(fuzzy), np.log1p(cited), np.log1p(aimed), top, top_fuzzy, np.log1p(total), plain > 0, np.log1p(len({t for _, t, _ in hits})), 100 * plain / len(words))
         return out
 
 
@@ -224,20 +277,17 @@ def choose_terms(rows: list[tuple[str, int, float]]) -> tuple[list[str], list[fl
 
     Most frequent first and longest first; a beginning adds nothing to a word that
     stands in nearly as many documents, nor a longer term to a chosen beginning - but
-    for one too short for edits: terms under it are kept for their misspellings, and
-    ``MOST_TERMS`` does not count them.
+    for one too short for edits: terms under it are kept for their misspellings.
     """
     chosen: dict[str, tuple[int, float]] = {}
-    own = 0
     reach: dict[str, int] = {}  # any beginning of a chosen term -> its documents
     for term, n, odds in sorted(rows, key=lambda r: (-r[1], r[0].endswith("*"), -len(r[0]), r[0])):
         stem = term.removesuffix("*")
         if any(stem[:k] + "*" in chosen for k in range(LEAST_EDITED, len(stem) + 1)) or n <= 1.1 * reach.get(stem, 0):
             continue
         under = any(stem[:k] + "*" in chosen for k in range(1, min(LEAST_EDITED, len(stem) + 1)))
-        if under and len(stem) < LEAST_EDITED or not under and own >= MOST_TERMS:
+        if under and len(stem) < LEAST_EDITED:
             continue
-        own += not under
         chosen[term] = (n, odds)
         for k in range(1, len(stem) + 1):
             reach[stem[:k]] = max(reach.get(stem[:k], 0), n)
@@ -279,8 +329,11 @@ def _features(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["x", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from at most ``sample`` labelled rows of each class that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", report: frozenset[str] = REPORT, address: frozenset[str] = ADDRESS) -> Model:
+    """Learn from at most ``sample`` labelled rows of each class that are not held out.
+
+    ``report`` and ``address`` are the verbs and words by which quoted and aimed hits are told.
+    """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "toxicity")
@@ -297,9 +350,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     counted = first.mapInArrow(lambda batches: _term_counts(batches), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     support = max(2, round(0.004 * n_toxic))
-    best = counted.where(F.col("t") >= support).select("term", "t", odds.alias("o")).where(F.col("o") >= MIN_ODDS).orderBy(F.desc("t"), "term").limit(20 * MOST_TERMS)
+    best = counted.where(F.col("t") >= support).select("term", "t", odds.alias("o")).where(F.col("o") >= MIN_ODDS)
     terms, weights = choose_terms([(r.term, r.t, r.o) for r in best.collect()])
-    lexicon = Lexicon(terms, weights)
+    lexicon = Lexicon(terms, weights, report, address)
     found = second.mapInArrow(lambda batches: _features(batches, lexicon), "x array<double>, toxic int").collect()
     y = np.array([r.toxic for r in found], float)
     if not len(y) or y.min() == y.max():
