@@ -32,11 +32,26 @@ def test_pairs_by_cosine_or_sign_bits(spark):
     assert got == {(0, 1)}
 
 
+@pytest.mark.parametrize("grid", [1, 2, 5])
+def test_all_pairs_whatever_the_grid(spark, grid):
+    draw = random.Random(grid)
+    x = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    got = [(r.a, r.b, r.hamming) for r in similar_pairs(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), 2.0, 2, block=7, grid=grid).collect()]
+    bits = [[v >= 0 for v in r] for r in x]
+    dots = {(i, j): sum(p * q for p, q in zip(x[i], x[j], strict=True)) for i in range(60) for j in range(i + 1, 60)}
+    want = {(i, j): sum(p != q for p, q in zip(bits[i], bits[j], strict=True)) for i, j in dots}
+    assert sorted(got) == sorted((i, j, want[i, j]) for i, j in dots if dots[i, j] >= 2.0 or want[i, j] <= 2)
+
+
 def test_banded_hamming_finds_all(spark):
-    values = [0, 1, 3, 7, 1 << 40, (1 << 40) | 5]
+    draw = random.Random(1)
+    values = [0, 1, 3, 7, 1 << 40, (1 << 40) | 5, 7, 7, -1, -2] + [draw.getrandbits(63) for _ in range(30)]
+    values += [v ^ (1 << draw.randrange(63)) ^ (1 << draw.randrange(63)) for v in values[10:]]
     rows = spark.createDataFrame(list(enumerate(values)), "id long, h long")
-    got = {(r.a, r.b) for r in banded_hamming(rows, 2).collect()}
-    assert got == {(i, j) for i in range(6) for j in range(i + 1, 6) if bin(values[i] ^ values[j]).count("1") <= 2}
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    for most, bands in ((2, None), (2, 3), (3, 6), (0, None)):
+        got = sorted((r.a, r.b, r.hamming) for r in banded_hamming(rows, most, bands=bands).collect())
+        assert got == [(i, j, apart(values[i], values[j])) for i in range(len(values)) for j in range(i + 1, len(values)) if apart(values[i], values[j]) <= most]
 
 
 def test_wilson(spark):
@@ -66,16 +81,16 @@ def test_holm(spark):
     assert got == {"A": (0.330366, False), "B": (0.407759, False)}
 
 
-def test_bootstrap_repeats_and_has_a_floor(spark):
-    parts = spark.createDataFrame([(i, c, 1 + (i + c) % 2, 3) for i in range(5) for c in range(3)], "item long, class_id long, inter long, uni long")
-    one, two = (inference.bootstrap(parts, 20, floor=1).orderBy("r").collect() for _ in range(2))
-    assert one == two and len(one) == 20
+def test_intervals_repeat_and_have_a_floor(spark):
+    parts = spark.createDataFrame([("r", i, c, 1 + (i + c) % 2, 3, 2) for i in range(5) for c in range(3)], "run string, item long, class_id long, inter long, uni long, n_label long")
+    one, two = (sorted(map(str, inference.metric_intervals(parts, replicates=20, floor=1, classes=3).collect())) for _ in range(2))
+    assert one == two and len(one) == 9
     with pytest.raises(ValueError, match="at least"):
-        inference.bootstrap(parts, 20)
+        inference.metric_intervals(parts, replicates=20)
 
 
 def test_deltas_have_a_floor_and_a_joined_twin(spark):
-    parts = views.parts(spark, DATA).localCheckpoint()
+    parts = Scratch(spark, "t").cut(views.parts(spark, DATA), "parts")
     with pytest.raises(ValueError, match="at least"):
         inference.deltas(parts, 40)
     one, two = (inference.deltas(parts, 20, floor=1, most_cells=m).select("r", "leak", "size", "bg", "attr").orderBy("r").toPandas() for m in (10**6, 0))
@@ -152,6 +167,21 @@ def test_group_classes_count_every_item(spark):
     assert got[["component", "size", "n_classes"]].values.tolist() == want[["component", "size", "n_classes"]].values.tolist()
 
 
+def test_coverage_is_repaired_and_every_step_is_told():
+    groups = pd.DataFrame({"component": range(24), "size": [9, 8, 7] + [1] * 21, "classes": [[0, 1], [0], [1]] + [[2]] * 18 + [[0, 2], [1, 2], [3]]})
+    trace = []
+    placed = assign(groups, trace=trace)
+    assert [t[0] for t in trace[:24]] == ["greedy"] * 24 and sorted(t[1] for t in trace[:24]) == list(range(24))
+    both = placed.merge(groups, on="component").explode("classes")
+    total, out = groups["size"].sum(), 0.0
+    for s, share in SHARES.items():
+        out += abs(both.drop_duplicates("component").query("new_split == @s")["size"].sum() / total - share)
+    for c in range(4):
+        mine = both[both["classes"] == c]
+        out += sum(abs(mine[mine["new_split"] == s]["size"].sum() / mine["size"].sum() - share) for s, share in SHARES.items()) / 4
+    assert trace[-1][4] == pytest.approx(out)
+
+
 def test_lists_and_csv(spark, tmp_path):
     keys = spark.createDataFrame([("b",), ("a",)], "key string")
     digest = tables.write_list(keys, str(tmp_path / "l"))
