@@ -61,9 +61,9 @@ def water_fill(sources: DataFrame, scratch: Scratch, weights: tuple[float, ...]
     summed = prefix_sums(scratch.cut(in_ranges(levels, *by), "levels"), by, {"_capped": F.col("_cap"), "_lighter": F.col("_w")})
     # The level if this source and all above it are the ones not capped.
     free = scratch.cut(summed.withColumn("_free", (F.col("_all") - F.col("_capped")) / (F.col("_lighter_total") - F.col("_lighter"))), "free")
-    fill = free.where("_free <= _level").agg(F.min(F.struct("_level", "_source", "_free")).alias("_f")).select(F.coalesce("_f._free", F.lit(float("inf"))).alias("_fill"))
-    above = F.col("_level") > F.col("_fill")  # one row on the right
-    return free.join(F.broadcast(fill)).select("_source", "source_size", F.when(above, F.col("_fill") * F.col("_w")).otherwise(F.col("_cap")).alias("target"))
+    found = free.where("_free <= _level").agg(F.min(F.struct("_level", "_source", "_free")).alias("f")).select("f._free").first()[0]
+    fill = F.lit(float("inf") if found is None else found)
+    return free.select("_source", "source_size", F.when(F.col("_level") > fill, fill * F.col("_w")).otherwise(F.col("_cap")).alias("target"))
 
 
 def arrange(sizes: np.ndarray, share: float, cells: int = CELLS) -> np.ndarray:

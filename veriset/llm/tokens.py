@@ -10,6 +10,7 @@ one that holds an added token (as it is or lower-cased).
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -22,14 +23,15 @@ _ODD = re.compile(rb"[ \t-\r\x1c-\x1f]{2}|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x
 _FOREIGN = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
 #: What every match of _FOREIGN begins with; to look for these first is several times faster.
 _FOREIGN_LEADS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf")
+#: White space other than spaces and line breaks, and two of these side by side.
+_RARE_BLANKS = (b"\t", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_PAIRS = (b"  ", b"\n\n", b" \n", b"\n ")
 #: Marks that compose with A-Z: the library composes before it lower-cases, so such a text keeps its case.
 _MARKS = (b"\xcc", b"\xcd")
 #: Lower-case Latin letters alone: no normalizer changes them and no pre-tokenizer cuts them.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-_STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,]")
 #: The same with capitals, for tokenizers that keep the case: a space and such a word are one piece.
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_LETTERS_STOPPED = re.compile(_LETTERS.pattern + rb"[.,]")
 _PROBE = "stupid straße élève niño zzqxj a ÿ"
 
 
@@ -52,25 +54,33 @@ class _Parts:
         self.held += size
 
     def look_up(self, parts: list[bytes]) -> list[bytes]:
-        values = list(map(self.young.get, parts))
-        absent = [i for i, v in enumerate(values) if v is None]
-        if not absent:
-            return values
-        old, missing, found = self.old, {}, {}
-        for i in absent:
-            p = parts[i]
-            if p not in found and p not in missing:
-                if (ids := old.get(p)) is None:
-                    missing[p] = None
-                else:
-                    found[p] = ids
-        found.update(zip(missing, self.encode(list(missing)), strict=True))
-        for i in absent:
-            values[i] = found[parts[i]]
+        need = set(parts).difference(self.young)
+        found = {p: self.old[p] for p in need.intersection(self.old)}
+        missing = list(need.difference(found))
+        found.update(zip(missing, self.encode(missing), strict=True))
+        known = self.young
+        known.update(found)
+        values = list(map(known.__getitem__, parts))
         self.put(found)
         return values
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids) if len(ids) < 64 else np.asarray(ids, "<u4").tobytes()
+
+
+def is_odd(body: bytes) -> bool:
+    """Whether a text may be cut otherwise than before single spaces and line breaks; the usual cases need no pattern."""
+    if any(x in body for x in _RARE_BLANKS):
+        return _ODD.search(body) is not None
+    return any(x in body for x in _PAIRS) or is_foreign(body)
+
+
+def is_foreign(body: bytes) -> bool:
+    return any(x in body for x in (_FOREIGN_LEADS[:4] if body.isascii() else _FOREIGN_LEADS)) and _FOREIGN.search(body) is not None
+
+
 def _ends_sentence(token: str) -> bool:
     """Tokens whose last sign but quotes and brackets is a full stop, ! or ?."""
     return token.endswith("</w>") and token.removesuffix("</w>").rstrip("\"')]}»”’").endswith((".", "!", "?", "…", "。"))
@@ -105,12 +115,12 @@ class Encoder:
         self.sentence_ends = _ids(vocab, _ends_sentence)
         self.bare, self.closes = self._bare(vocab) if kind == "word" else (None, np.zeros(0, bool))
         self.stops = {b".": self._call(["."])[0], b",": self._call([","])[0]}
-        self.plain, self.stopped = (_PLAIN, _STOPPED) if kind == "word" else (_LETTERS, _LETTERS_STOPPED)
+        self.plain = _PLAIN if kind == "word" else _LETTERS
         self.opens = _ids(vocab, lambda token: token.startswith("\u0120")) if kind == "byte" else np.zeros(0, bool)  # ids that begin with a space
         self.parts = _Parts(self._cached_parts, CACHE_BYTES)
 
     def _call(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _bare(self, vocab: dict[str, int]) -> tuple:
         """The same model for plain words, without the passes that leave them as they are; and the ids that end a word."""
@@ -143,26 +153,27 @@ class Encoder:
 
     def _cached_parts(self, parts: list[bytes]) -> list[bytes]:
         """A full stop or comma behind letters is always a piece of its own: such words are encoded without it."""
-        young, old = self.parts.young, self.parts.old
-        stopped = {p for p in parts if p[-1:] in self.stops and self.stopped.fullmatch(p)}
-        known, plain, other = {}, {}, []
+        young, old, stops, is_plain = self.parts.young, self.parts.old, self.stops, self.plain.fullmatch
+        known: dict[bytes, bytes] = {}
+        words: dict[bytes, None] = {}  # plain ones, to be encoded
+        stopped, other = [], []
         for p in parts:
-            if p in stopped:
-                w = p[:-1]
+            if is_plain(p):
+                words[p] = None
+            elif (stop := stops.get(p[-1:])) is not None and is_plain(w := p[:-1]):
                 if ids := young.get(w) or old.get(w):
-                    known[w] = ids
+                    known[p] = ids + stop
                 else:
-                    plain[w] = None
-            elif self.plain.fullmatch(p):
-                plain[p] = None
+                    words[w] = None
+                    stopped.append((p, w, stop))
             else:
                 other.append(p)
         plainly, otherwise = (self._plain, self._word_parts) if self.kind == "word" else (self._spaced, self._byte_parts)
-        fresh = dict(zip(plain, plainly(list(plain)), strict=True))
-        self.parts.put({w: fresh[w] for w in (p[:-1] for p in stopped) if w in fresh})
-        known |= fresh
+        fresh = dict(zip(words, plainly(list(words)), strict=True))
+        known.update((p, fresh[w] + stop) for p, w, stop in stopped)
         known.update(zip(other, otherwise(other), strict=True))
-        return [known[p[:-1]] + self.stops[p[-1:]] if p in stopped else known[p] for p in parts]
+        self.parts.put({w: fresh[w] for _, w, _ in stopped})
+        return [known[p] if p in known else fresh[p] for p in parts]
 
     def _holds_added(self, body: bytes) -> bool:
         if not any(x in body for x in self.leads):
@@ -173,7 +184,7 @@ class Encoder:
 
     def _words(self, body: bytes) -> list[bytes] | None:
         """Words of a text in lower-case A-Z; None if it must go to the library whole."""
-        if any(x in body for x in (_FOREIGN_LEADS[:4] if body.isascii() else _FOREIGN_LEADS)) and _FOREIGN.search(body):
+        if is_foreign(body):
             return None
         return body.split() if any(x in body for x in _MARKS) else body.lower().split()
 
@@ -194,7 +205,7 @@ class Encoder:
                 parts = None
             elif self.kind == "word":
                 parts = self._words(b)
-            elif _ODD.search(b) or len(self.newline) != lead:
+            elif is_odd(b) or len(self.newline) != lead:
                 parts = None
             else:  # a line break before the text lets its first part be like any other; its id is cut off again
                 parts = (b"\n" + b).replace(b"\n", b" \n").split(b" ")[1:]
