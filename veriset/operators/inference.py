@@ -164,10 +164,10 @@ def metric_intervals(parts: DataFrame, by: tuple[str, ...] = ("run",), edges: Da
         rows = rows.unionByName(edges.select(*by, "item", F.lit(-1).alias("class_id"), *none, *(F.col(c).cast("double").alias(c) for c in ("tp", "fp", "fn"))))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, metric string, class_id int, point double, low double, high double"])
-    types = [rows.schema[c].dataType for c in by]
+    types, with_edges = [rows.schema[c].dataType for c in by], edges is not None
 
     def resample(group: pa.Table) -> pa.Table:
-        return _resampled(group, by, [to_arrow_type(t) for t in types], edges is not None, replicates, seed, primary, level, classes)
+        return _resampled(group, by, [to_arrow_type(t) for t in types], with_edges, replicates, seed, primary, level, classes)
 
     return rows.groupBy(*by).applyInArrow(resample, schema)
 
