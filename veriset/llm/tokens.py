@@ -54,15 +54,14 @@ class _Parts:
         self.held += size
 
     def look_up(self, parts: list[bytes]) -> list[bytes]:
-        need = set(parts).difference(self.young)
+        known = self.young  # stays whole in here, though what is put may start a new generation
+        need = set(parts).difference(known)
         found = {p: self.old[p] for p in need.intersection(self.old)}
         missing = list(need.difference(found))
         found.update(zip(missing, self.encode(missing), strict=True))
-        known = self.young
-        known.update(found)
-        values = list(map(known.__getitem__, parts))
         self.put(found)
-        return values
+        known.update(found)
+        return list(map(known.__getitem__, parts))
 
 
 def pack(ids: list[int]) -> bytes:
