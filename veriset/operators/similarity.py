@@ -37,7 +37,7 @@ def _signs(x: np.ndarray) -> np.ndarray:
 
 
 def _multiply(batches: Iterator[pa.RecordBatch], least: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a task: its left blocks first, then the right ones, each of which meets every left block not after it."""
+    """Rows of a task: its left blocks first, then the right ones, each of which meets every left block (of its own stripe those not after it)."""
     left: list[tuple] = []
     at = None
     for batch in batches:
@@ -51,7 +51,7 @@ def _multiply(batches: Iterator[pa.RecordBatch], least: float, most: int) -> Ite
                 left.append(side)
                 continue
             for number, p, own, signs in left:
-                if number > side[0]:
+                if r["row"] == r["col"] and number > side[0]:
                     continue
                 cos = own @ x.T
                 near = cos >= least
