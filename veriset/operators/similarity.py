@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriset.operators.shipping import prepare
+from veriset.plans.scratch import Scratch
 
 #: Vectors of a block, and blocks that a task holds at most.
 BLOCK, STRIPE = 1024, 16
@@ -134,9 +135,10 @@ def jaccard_classes(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     only classes in such a pair send.
     """
     hashed = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(_tokens(F.col(text_col)), lambda w: F.xxhash64(w)))).alias("w"))
-    keyed = hashed.where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.xxhash64(F.lit(1), "w").alias("h1"), F.xxhash64(F.lit(2), "w").alias("h2"), "w")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    keyed = scratch.cut(hashed.where(F.size("w") > 0).select("id", F.size("w").alias("n"), F.xxhash64(F.lit(1), "w").alias("h1"), F.xxhash64(F.lit(2), "w").alias("h2"), "w"), "sets")  # texts are cut into words once
     first = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"))
-    members = keyed.select("id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("id", "class_id")
+    members = scratch.cut(keyed.select("id", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("id", "class_id"), "members")
     sets = keyed.join(members.where("id = class_id").select("id"), "id", "left_semi").select(F.col("id").alias("c"), "n", "w")
     tokens = sets.select("c", "n", F.explode("w").alias("t"))
     ranked = tokens.join(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t")
