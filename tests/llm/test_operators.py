@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,6 +392,19 @@ def test_hnsw_audits_ids_that_twenty_does_not_divide(spark):
     assert [got[2 * i + 1] for i in range(3000)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
 
 
+def test_hnsw_queries_go_to_near_pivots_only():
+    rng = np.random.default_rng(3)
+    x = hnsw._unit(rng.normal(size=(2000, 64)))
+    pivots = {(1, 64): hnsw.spread(x, 16)}
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 2000), pa.array([64] * 2000, pa.int32()), pa.array(range(2000), pa.int64()), pa.array(x.tolist())], names=["label", "dim", "node", "embedding"])
+    sent = {m: [(b["cell"][0].as_py(), np.frombuffer(b["ids"][0].as_py(), np.int64)) for b in hnsw._packets(iter([rows]), pivots, {(1, 64): m}, pa.int64())] for m in (0.0, 0.08, float("inf"))}
+    assert [sum(len(ids) for _, ids in sent[m]) for m in (0.0, float("inf"))] == [2000, 32_000]
+    assert 2000 < sum(len(ids) for _, ids in sent[0.08]) < 12_000
+    dealt = next(hnsw._deal(iter([rows]), pivots))["cell"].to_numpy()
+    assert all((dealt[ids] == cell).all() for cell, ids in sent[0.0])
+    assert hnsw.spread(np.r_[x[:1], x[:1], x[1:2]], 3).shape == (2, 64)
+
+
 def test_hnsw_small_labels_are_audited_whole():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(53, 8))
