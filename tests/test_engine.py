@@ -55,6 +55,30 @@ def test_banded_hamming_finds_all(spark):
         assert got == [(i, j, apart(values[i], values[j])) for i in range(len(values)) for j in range(i + 1, len(values)) if apart(values[i], values[j]) <= most]
 
 
+def test_banded_hamming_keeps_its_keys_off_the_driver(spark):
+    """5,000 values are few and could be broadcast, their 175,000 keys are not."""
+    draw = random.Random(5)
+    values = [draw.getrandbits(32) for _ in range(4000)]
+    values += [v ^ (1 << draw.randrange(32)) ^ (1 << draw.randrange(32)) for v in values[:1000]]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, h long")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "3m")
+    try:
+        got = sorted((r.a, r.b, r.hamming) for r in banded_hamming(rows, 3, bits=32).collect())
+    finally:
+        spark.conf.set(limit, before)
+    h = np.array(values, np.uint32)
+    apart = np.triu(np.bitwise_count(h[:, None] ^ h[None, :]).astype(np.int8) + 1, 1) - 1
+    assert got == [(int(i), int(j), int(apart[i, j])) for i, j in np.argwhere((apart >= 0) & (apart <= 3))]
+
+
+def test_banded_hamming_pairs_no_id_with_itself(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 3), (2, 3)], "id long, h long")
+    got = sorted((r.a, r.b, r.hamming) for r in banded_hamming(rows, 2, bits=32).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (1, 2, 2), (1, 2, 2)]
+
+
 def test_wilson(spark):
     low, high = C.wilson(F.lit(186), F.lit(1561))
     r = spark.range(1).select(low.alias("l"), high.alias("h")).first()
