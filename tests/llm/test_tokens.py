@@ -37,3 +37,44 @@ def test_added_tokens_are_read_as_by_default(file, kind):
     want = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [bytes(g) for g in own.encode([t.encode() for t in texts])] == want
     assert any(library.token_to_id(t) in np.frombuffer(w, "<u4") for t in added for w in want)
+
+
+SIGNS = ["", ".", ",", "***", "?!", "'", "!'", "')", "....", "-", "\"", "<|>"]
+
+
+def _words(n: int) -> list[str]:
+    draw = random.Random(5)
+    return ["".join(draw.choice("aetnrsoiéßñÀTzq") for _ in range(draw.randint(1, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_words_with_signs_and_line_breaks_are_the_librarys(file, kind):
+    from tokenizers import Tokenizer
+
+    own, library = Encoder(P.path(file), kind), Tokenizer.from_file(P.path(file))
+    draw = random.Random(7)
+    words = _words(4000)
+    texts = ["".join(draw.choice(words) + draw.choice(SIGNS) + draw.choice(" \n") for _ in range(draw.randint(0, 90))) + draw.choice(words) for _ in range(300)]
+    own.parts.most = 60_000
+    for at in range(0, len(texts), 50):
+        got = own.encode([t.encode() for t in texts[at : at + 50]])
+        assert [bytes(g) for g in got] == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at : at + 50]]
+
+
+def test_no_word_is_a_text_of_its_own_for_its_signs_or_its_line_break():
+    """op4_token_records: to encode "word***" and "\\nWord" one text each took most of the time that such words took."""
+    own, asked = Encoder(P.path("byte_bpe_50k.json"), "byte"), []
+    call = own._call
+    own._call = lambda texts: asked.extend(texts) or call(texts)
+    words = _words(2000)
+    own.encode([" ".join(w + s for w, s in zip(words, ["***", "?!", "$$$", ";"] * 500, strict=True)).encode(), "\n".join(words).encode()])
+    assert len(asked) < 20
+
+
+def test_a_merge_across_words_forbids_runs():
+    own = Encoder(P.path("byte_bpe_50k.json"), "byte")
+    vocab = own.tokenizer.get_vocab()
+    assert own._run(vocab)[0] is not None
+    assert own._run(vocab | {"eĠt": len(vocab)})[0] is None
+    own.run = None
+    assert own.encode([b"some plain words\nand lines"]) == Encoder(P.path("byte_bpe_50k.json"), "byte").encode([b"some plain words\nand lines"])
